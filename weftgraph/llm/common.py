@@ -50,6 +50,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
         yield v.as_py() or ""
 
 
+def blocks(batch: pa.RecordBatch, chars: int, name: str = "text") -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts): a batch's texts in runs of about ``chars`` characters, at least one text each."""
+    first, held, n = 0, [], 0
+    for i, t in enumerate(texts(batch, name)):
+        held.append(t)
+        n += len(t)
+        if n >= chars:
+            yield first, held
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def list_array(flat: np.ndarray, sizes: list[int] | np.ndarray) -> pa.Array:
     """Arrow lists of the given sizes over one flat array."""
     offsets = np.zeros(len(sizes) + 1, np.int32)

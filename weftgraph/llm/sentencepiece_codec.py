@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import documents, list_array, per_batch, texts
+from weftgraph.llm.common import blocks, documents, list_array, per_batch
 
 SEP = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Distinct cuts that a worker keeps at most, twice (a young and an old table).
 CACHE = 150_000
-#: Ids in an output batch, about.
-BATCH_IDS = 1_000_000
+#: Characters coded at once, about.
+BATCH_CHARS = 1_000_000
 #: Longer cuts are merged with a heap.
 SHORT = 40
 #: The score of a pair that no piece joins.
@@ -107,20 +107,23 @@ class CharMap:
 class Cuts(dict):
     """Cut -> its ids and piece lengths by turns, as bytes. Forgets what was not used lately once CACHE is reached."""
 
-    def __init__(self, make):
+    def __init__(self, one, many):
         super().__init__()
-        self.make, self.old = make, {}
+        self.one, self.many, self.old = one, many, {}
 
     def __missing__(self, cut: str) -> bytes:
-        out = self.old.get(cut) or self.make(cut)
+        out = self.old.get(cut) or self.one(cut)
         if len(cut) < 100:
             self[cut] = out
         return out
 
-    def trim(self) -> None:
+    def prepare(self, cuts: set[str]) -> None:
+        """Take in the cuts not known yet, together. Makes room first."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
+        old = self.old
+        self.update(self.many([c for c in cuts if c not in self and c not in old]))
 
 
 class Codec:
@@ -153,7 +156,11 @@ class Codec:
         self.plain = self.charmap is None and not self.squeeze
         self.forms = np.array([self._form(i) for i in range(len(names))], object)
         self.silent = np.array([k == CONTROL for k in kinds])
-        self.cuts = Cuts(self._plain_cut if self.plain else self._norm_cut)
+        self._tables()
+        alone = "".join(c for c in "\n\t" if not any(c in n for n in self.ids))  # in no piece, so never merged
+        blank = SEP if not self.plain else f" {SEP}"
+        self._cut = re.compile(f"[{blank}]*[^{blank}{alone}]+|[{blank}]+" + f"|[{alone}]" * bool(alone))
+        self.cuts = Cuts(self._plain_cut if self.plain else self._norm_cut, self._many)
 
     # ---- normalisation
 
@@ -243,6 +250,83 @@ class Codec:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def _tables(self) -> None:
+        """Arrays for merging many cuts at once: symbols of characters, and the pairs of symbols that a piece joins, with its symbol."""
+        order = sorted(self.ids, key=lambda n: (-self.scores[n], self.ids[n]))
+        rank = {n: i for i, n in enumerate(order)}
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for n in order:
+            if len(n) == 1:
+                self.symbol[ord(n)] = rank[n]
+        self.symbol[32] = self.symbol[ord(SEP)]
+        found = [(rank[n[:k]] * len(order) + rank[n[k:]], rank[n]) for n in order for k in range(1, len(n)) if n[:k] in rank and n[k:] in rank]
+        found.sort()
+        self.pair_keys, self.pair_rank = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        self.rank_id = np.array([self.ids[n] for n in order], np.int32)
+        steps = np.cumsum([0] + [self.scores[a] != self.scores[b] for a, b in zip(order, order[1:])])
+        self.priority = np.append(steps, len(order)).astype(np.int32)  # of each symbol, the lower first; equal scores are equal
+        self.batchable = bool(found) and SEP in rank  # else a cut at a time
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbol of the piece that joins two symbols; the number of symbols if none does."""
+        n = len(self.rank_id)
+        key = a.astype(np.int64) * n + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], n).astype(np.int32)
+
+    def _many(self, cuts: list[str]) -> dict[str, bytes]:
+        """Merge many short cuts of known characters, in rounds: each round joins the best pair of every cut. The rest: one by one."""
+        cuts.sort(key=len)  # cuts of like length are merged together
+        n_short = sum(len(c) <= SHORT for c in cuts) if self.batchable else 0
+        out = {c: self.cuts.one(c) for c in cuts[n_short:] if len(c) < 100}
+        for a in range(0, n_short, 8192):
+            part = cuts[a : min(a + 8192, n_short)]
+            size = np.array([*map(len, part)])
+            points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+            place = np.arange(size[-1])[None, :] < size[:, None]
+            sym, width = np.full(place.shape, -1, np.int32), np.zeros(place.shape, np.int32)
+            sym[place] = self.symbol[points]
+            width[place] = np.where((points == 32) & (not self.plain), 3, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+            strange = (place & (sym < 0)).any(1)
+            out.update((c, self.cuts.one(c)) for c, x in zip(part, strange.tolist()) if x)
+            self._rounds(sym, width, size)
+            live = np.arange(sym.shape[1])[None, :] < size[:, None]
+            live[strange] = False
+            both = np.stack([self.rank_id[sym[live]], width[live]], 1).tobytes()
+            stops = (np.cumsum(live.sum(1)) * 8).tolist()
+            out.update((c, both[i:j]) for c, i, j, x in zip(part, [0, *stops], stops, strange.tolist()) if not x)
+        return out
+
+    def _rounds(self, sym: np.ndarray, width: np.ndarray, size: np.ndarray) -> None:
+        """Join symbols in place until no piece joins two neighbours; ``size`` becomes the number of pieces."""
+        none = len(self.rank_id)
+        rows = np.arange(len(sym))
+        prior = self.priority
+        worth = prior[self._joined(sym[:, :-1], sym[:, 1:])] if sym.shape[1] > 1 else np.full((len(sym), 1), none, np.int32)
+        places = np.arange(sym.shape[1])
+        while len(rows):
+            best = worth.argmin(1)
+            more = worth[np.arange(len(rows)), best] < none
+            rows, best, worth = rows[more], best[more], worth[more]
+            if not len(rows):
+                return
+            here, each = np.arange(len(rows)), sym[rows]
+            gain = self._joined(each[here, best], each[here, best + 1])
+            w = width[rows]
+            w[here, best] += w[here, best + 1]
+            each[here, best] = gain
+            shift = np.minimum(places[None, :] + (places[None, :] > best[:, None]), len(places) - 1)
+            each, w = np.take_along_axis(each, shift, 1), np.take_along_axis(w, shift, 1)
+            each[:, -1], w[:, -1] = -1, 0
+            worth = np.take_along_axis(worth, np.minimum(shift[:, :-1], worth.shape[1] - 1), 1)
+            worth[:, -1] = none
+            left = best > 0
+            worth[here[left], best[left] - 1] = prior[self._joined(each[here[left], best[left] - 1], gain[left])]
+            right = best + 1 < each.shape[1]
+            worth[here[right], best[right]] = prior[self._joined(gain[right], each[here[right], best[right] + 1])]
+            sym[rows], width[rows] = each, w
+            size[rows] -= 1
+
     def _number(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         """Ids and normalised byte lengths. Of the bytes of an unknown piece the last has the whole length."""
         ids, sizes = [], []
@@ -280,28 +364,23 @@ class Codec:
 
     # ---- whole texts
 
-    _source_cut = re.compile(f"[ {SEP}]*[^ {SEP}]+|[ {SEP}]+")
-    _norm_only_cut = re.compile(f"{SEP}*[^{SEP}]+|{SEP}+")
-
-    @staticmethod
-    def _unpack(raw: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(raw, np.int32).reshape(-1, 2).T)
-
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): each piece and the bytes of ``text`` that it stands for."""
-        if self.plain:
-            cuts = self._source_cut.findall(text)
-            head = [self._plain_cut(cuts[0], SEP)] if cuts and self.prefix else []
-            ids, sizes = self._unpack(b"".join([*head, *map(self.cuts.__getitem__, cuts[len(head) :])]))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each of a few texts; their new cuts are merged together."""
+        plain = self.plain
+        forms = [(t, None) for t in some] if plain else [self.normalise(t) for t in some]
+        cuts = [self._cut.findall(t) for t, _ in forms]
+        self.cuts.prepare(set().union(*cuts))
+        for c, (_, at) in zip(cuts, forms):
+            raw = b"".join(map(self.cuts.__getitem__, c[1:] if plain and self.prefix else c))
+            if plain and self.prefix and c:
+                raw = self._plain_cut(c[0], SEP) + raw
+            ids, sizes = np.ascontiguousarray(np.frombuffer(raw, np.int32).reshape(-1, 2).T)
             ends = np.cumsum(sizes, dtype=np.int32)
-            begins = ends - sizes
-        else:
-            norm, at = self.normalise(text)
-            ids, sizes = self._unpack(b"".join(map(self.cuts.__getitem__, self._norm_only_cut.findall(norm))))
-            stops = np.cumsum(sizes, dtype=np.int64)
-            begins, ends = at[stops - sizes], at[stops]
-        self.cuts.trim()
-        return ids, begins, ends
+            yield (ids, ends - sizes, ends) if plain else (ids, at[ends - sizes], at[ends])
 
     # ---- decoding
 
@@ -368,37 +447,31 @@ def _codec(model: bytes) -> Codec:
     return Codec(model)
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` of each row with ids, begins and ends: the pieces of its whole text and their spans in UTF-8 bytes.
 
+    ``decoded``: also the text that ``decode`` makes of the ids, in the same pass.
     Null and empty texts have no pieces. Other columns are left out. The model
-    (half a megabyte) travels with the tasks; rows are coded one by one and
+    (half a megabyte) travels with the tasks; texts are coded a few at a time and
     leave in batches of bounded size, so a very long text costs its own length.
     """
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).alias("text"))
     kinds = "".join(f"k{i} {df.select(k).schema[0].dataType.simpleString()}, " for i, k in enumerate(keep))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        codec, held, first, n = _codec(model), [], 0, 0
-
-        def batch_of(last: int) -> dict:
-            sizes = [len(h[0]) for h in held]
-            cols = {f"k{i}": batch.column(f"k{i}").slice(first, last - first) for i in range(len(keep))}
+        codec = _codec(model)
+        for first, some in blocks(batch, BATCH_CHARS):
+            done = [*codec.encode_all(some)]
+            cols = {f"k{i}": batch.column(f"k{i}").slice(first, len(some)) for i in range(len(keep))}
+            sizes = [len(d[0]) for d in done]
             for j, name in enumerate(("ids", "begins", "ends")):
-                cols[name] = list_array(np.concatenate([h[j] for h in held]).astype(np.int32, copy=False) if held else np.zeros(0, np.int32), sizes)
-            return cols
-
-        for row, t in enumerate(texts(batch)):
-            held.append(codec.encode(t))
-            n += len(held[-1][0])
-            if n >= BATCH_IDS:
-                yield batch_of(row + 1)
-                held, first, n = [], row + 1, 0
-        if first < batch.num_rows:
-            yield batch_of(batch.num_rows)
+                cols[name] = list_array(np.concatenate([d[j] for d in done]).astype(np.int32, copy=False), sizes)
+            if decoded:
+                cols["decoded"] = [codec.decode(d[0]) for d in done]
+            yield cols
 
-    out = per_batch(rows, run, kinds + "ids array<int>, begins array<int>, ends array<int>")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "ids", "begins", "ends")
+    out = per_batch(rows, run, kinds + "ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "ids", "begins", "ends", *["decoded"] * decoded)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -438,4 +511,4 @@ def with_digests(df: DataFrame) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with spans and decoded again, as digests."""
     model = public_model()
-    return with_digests(decode(encode(documents(spark, sf_dir), model), model))
+    return with_digests(encode(documents(spark, sf_dir), model, decoded=True))
