@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, secrets, sentencepiece_codec, simhash
+from weftgraph.llm import mixing, rabitq, secrets, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+        "op2_rabitq_nearest": rabitq.op2_rabitq_nearest,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op7_poisson_mix": mixing.op7_poisson_mix,
