@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, rabitq, secrets, sentencepiece_codec, simhash
+from weftgraph.llm import mixing, quality_rules, rabitq, secrets, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_rabitq_nearest": rabitq.op2_rabitq_nearest,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_simhash_components": simhash.op5_simhash_components,
+        "op6_quality_cascade": quality_rules.op6_quality_cascade,
         "op7_poisson_mix": mixing.op7_poisson_mix,
     }
 
