@@ -129,7 +129,7 @@ class GrayIndex:
         return q[keep], node[keep]
 
 
-def links_within(fps: np.ndarray, limit: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def links_within(fps: np.ndarray, limit: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ``fps`` that connect everything within ``limit`` bits: a star for each component of the group."""
     index = GrayIndex(fps)
     root = np.arange(len(fps))
