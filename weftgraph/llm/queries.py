@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pii, quality_rules, rabitq, secrets, sentencepiece_codec, simhash
+from weftgraph.llm import mixing, pii, quality_rules, rabitq, recompression, secrets, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_personal_data": pii.op4_personal_data,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_quality_cascade": quality_rules.op6_quality_cascade,
+        "op8_recompression_dedup": recompression.op8_recompression_dedup,
         "op7_poisson_mix": mixing.op7_poisson_mix,
     }
 
