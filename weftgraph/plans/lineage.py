@@ -7,6 +7,7 @@ folder of our own used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,3 +49,9 @@ def discard(df: DataFrame) -> None:
         if "/table-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more, between the phases of a long operator."""
+    gc.collect()
+    spark._jvm.System.gc()
