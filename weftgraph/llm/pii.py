@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents
 from weftgraph.llm.quality_rules import let
+from weftgraph.llm.weak_supervision import reliabilities
 
 KINDS = ("email", "ip", "card", "phone")
 #: Further candidates: long numbers, social security numbers, local phone numbers, account numbers, and capitalised names.
@@ -187,38 +188,6 @@ def vote_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(*LABELLERS, "f").agg(F.count("*").alias("n"))
 
 
-def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 100, prior: float = 0.5) -> tuple[float, list[dict[tuple[int, int], float]], dict[tuple[int, ...], float]]:
-    """Expectation-maximisation over patterns of votes: (share of positives, per labeller P(vote | class), P(positive | pattern)).
-
-    ``counts``: (votes, number). Starts from the majority of the votes. The
-    estimates are smoothed by one vote each, so an empty table gives even odds.
-    """
-    total = sum(n for _, n in counts)
-    post = {v: 1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in counts}
-    share, table = prior, []
-    for _ in range(rounds):
-        table = []
-        for j in range(len(LABELLERS)):
-            t = {(c, x): 1.0 for c in (0, 1) for x in (-1, 0, 1)}
-            for v, n in counts:
-                t[1, v[j]] += n * post[v]
-                t[0, v[j]] += n * (1 - post[v])
-            for c in (0, 1):
-                s = sum(t[c, x] for x in (-1, 0, 1))
-                t |= {(c, x): t[c, x] / s for x in (-1, 0, 1)}
-            table.append(t)
-        share = (1 + sum(n * post[v] for v, n in counts)) / (2 + total)
-        new = {}
-        for v, _ in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(t[1, x] / t[0, x]) for t, x in zip(table, v))
-            new[v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-        done = max((abs(new[v] - post[v]) for v in new), default=0) < 1e-6
-        post = new
-        if done:
-            break
-    return share, table, post
-
-
 def fit_classifier(rows: list[tuple[str, float, float]], rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
     """Weights of a logistic classifier over the tokens of the feature strings; ``rows``: (features, probability, number)."""
     total = sum(n for _, _, n in rows) or 1.0

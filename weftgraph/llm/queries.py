@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pii, quality_rules, rabitq, recompression, secrets, sentencepiece_codec, simhash, toxicity
+from weftgraph.llm import mixing, pii, quality_classifier, quality_rules, rabitq, recompression, secrets, sentencepiece_codec, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_cascade": quality_rules.op6_quality_cascade,
         "op8_recompression_dedup": recompression.op8_recompression_dedup,
         "op7_poisson_mix": mixing.op7_poisson_mix,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
