@@ -36,7 +36,7 @@ def word_array(text: Column) -> Column:
 
 def without(text: Column, chars: str) -> Column:
     """How many of the text's characters are not among ``chars``."""
-    return F.length(F.translate(text, chars, ""))
+    return F.length(F.regexp_replace(text, "[" + "".join(f"\\x{ord(c):02x}" for c in chars) + "]+", ""))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -85,34 +85,33 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 @dataclass(frozen=True)
 class Rule:
-    """A named rule over a column ``text`` without nulls; ``rejects`` is true for texts it rejects."""
+    """A named rule over the columns of ``measures``; ``rejects`` is true for rows it rejects."""
 
     name: str
     rejects: Column
 
 
 def default_rules() -> list[Rule]:
-    """Rules for running prose. A text without words passes them all; the length rule of the base measures is for those."""
-    t = F.col("text")
-    body = without(t, BLANKS)
+    """Rules for running prose, over the columns of ``measures``. A text without words passes them all; the base's length rule is for those."""
+    t, n, body = F.col("text"), F.col("n_words"), F.col("word_chars")
     letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))
     capitals = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
     marks = F.length(t) - without(t, "!?")
     lines = F.split(t, "\n")
     return [
         Rule("few_letters", letters < 0.6 * body),
-        Rule("symbols", F.length(t) - without(t, SYMBOLS) > 0.05 * body),
+        Rule("symbols", F.col("n_symbols") > 0.05 * body),
         Rule("capitals", capitals > 0.5 * body),
         Rule("exclamations", marks > 0.1 * body),
-        Rule("word_length", let(F.size(word_array(t)), lambda n: (body < 2 * n) | (body > 15 * n))),
-        Rule("same_lines", let(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.size(x) > 2 * F.size(F.array_distinct(x)))),
-        Rule("ellipses", let(lines, lambda x: F.size(F.filter(x, lambda y: y.endswith("...") | y.endswith("…"))) > 0.3 * F.size(x))),
+        Rule("word_length", (body < 2 * n) | (body > 15 * n)),
+        Rule("same_lines", F.when(F.col("n_dup_lines") > 0, F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")) < 2 * F.col("n_dup_lines")).otherwise(False)),
+        Rule("ellipses", F.when(F.contains(t, F.lit("...")) | F.contains(t, F.lit("…")), let(lines, lambda x: F.size(F.filter(x, lambda y: y.endswith("...") | y.endswith("…"))) > 0.3 * F.size(x))).otherwise(False)),
     ]
 
 
 def profile(sample: DataFrame, rules: list[Rule], repeats: int = 3) -> dict[str, tuple[float, float]]:
     """{rule: (seconds on the sample, share of it rejected)}, each as the best of a few runs, less the time of a run without a rule."""
-    sample = sample.select(F.coalesce("text", F.lit("")).alias("text")).cache()
+    sample = sample.cache()
     try:
         n = sample.count()
 
@@ -148,17 +147,16 @@ def rejected_by(rules: list[Rule]) -> Column:
 
 
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample: DataFrame | None = None, first: Column | None = None) -> DataFrame:
-    """``docs`` with ``kept``: false where ``first`` holds or a rule rejects ``text``, in the order found on ``sample``.
+    """``docs`` (what ``measures`` gives) with ``kept``: false where ``first`` holds or a rule rejects, in the order found on ``sample``.
 
     ``sample``: rows like those of ``docs``, by default its first SAMPLE rows.
-    ``first``: a condition asked before all rules. Null texts are empty.
+    ``first``: a condition asked before all rules.
     """
     rules = default_rules() if rules is None else rules
     sample = docs.limit(SAMPLE) if sample is None else sample
     ranked = order(rules, profile(sample, rules))
-    body = docs.withColumn("text", F.coalesce("text", F.lit("")))
     ask = rejected_by(ranked).isNull()
-    return body.withColumn("kept", ask if first is None else F.when(first, F.lit(False)).otherwise(ask))
+    return docs.withColumn("kept", ask if first is None else F.when(first, F.lit(False)).otherwise(ask))
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,5 +165,5 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sorted(docs.inputFiles())
     sample = spark.read.schema(docs.schema).parquet(files[len(files) // 2]).limit(SAMPLE) if files else docs.limit(SAMPLE)
     base = measures(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = cascade(base, sample=sample, first=F.col("base_failed"))
+    out = cascade(base, sample=measures(sample), first=F.col("base_failed"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
