@@ -15,7 +15,6 @@ whatever the data, and is fitted to a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.common import documents, per_batch
 
@@ -342,9 +342,11 @@ def is_held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score) of every row, its whole text read; null is the empty text, whose score is that of no windows."""
+def with_scores(docs: DataFrame, net: Network, text: str = "text", to: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text in column ``to``; null is the empty text, whose score is that of no windows."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
+    rest = [c for c in docs.columns if c != to]
+    body = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         scorer = _scorer(sent)
@@ -357,10 +359,11 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", key: str
                 held, n = [], 0
         if held:
             scores.append(scorer.score(held))
-        return {"k": batch.column("k"), "score": np.concatenate(scores) if scores else np.zeros(0)}
+        return {f"c{i}": batch.column(f"c{i}") for i in range(len(rest))} | {"score": np.concatenate(scores) if scores else np.zeros(0)}
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return per_batch(rows, run, f"k {rows.schema['k'].dataType.simpleString()}, score double").select(F.col("k").alias(key), "score")
+    kind = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(rest)] + [T.StructField("score", T.DoubleType())])
+    out = per_batch(body, run, kind)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("score").alias(to))
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -379,5 +382,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a network trained on labels that are not held out."""
     docs = documents(spark, sf_dir)
     net = train(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    out = score_documents(docs, net)
+    out = with_scores(docs.select("doc_id", "text"), net)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
