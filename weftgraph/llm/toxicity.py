@@ -221,12 +221,15 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, b
         return net
     r = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    words = [t.encode().split() for t in texts]
-    ids = np.array([vocab.setdefault(w, len(vocab)) for ws in words for w in ws], np.int64)
+    read = [np.array([vocab.setdefault(w, len(vocab)) for w in t.encode().split()], np.int32) for t in texts]
+    lengths = np.array([*map(len, read)])
+    ids = np.concatenate(read)
+    del read
     feats = word_features(list(vocab))
+    del vocab
     gram_starts = np.r_[0, feats[2][:-1]]
-    starts, sizes, counts = windows_of(np.array([*map(len, words)]))
-    doc = np.repeat(np.arange(len(words)), counts)
+    starts, sizes, counts = windows_of(lengths)
+    doc = np.repeat(np.arange(len(lengths)), counts)
     toxic = y[doc] > 0
     squares = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
 
