@@ -10,13 +10,16 @@ same in every document.
 
 Every window of WINDOW words picks one of its interior symbols, by rules that
 see nothing but the window: of the highest round that has any whose cuts the
-window determines, the longest, then the one of least hash. Two equal windows
-therefore pick the same symbol. The first shuffle brings equal picked symbols
+window determines, the one of most bytes (long words are rare), then the one of
+least hash. Two equal windows therefore pick the same symbol. The first shuffle brings equal picked symbols
 together and reveals those that several documents have; only windows around
 those are named in full (128 bits), and a second shuffle verifies them and finds
 the document in which each occurs first.
 
-Before both shuffles each task looks at its own rows: a symbol that several of
+Whole texts come first: the name of a text's root, the symbol that all its words
+would become in the end, shows exact copies, which need no further look.
+
+Before the other shuffles each task looks at its own rows: a symbol that several of
 its documents share needs no answer and sends one row, a window sends only its
 first document. However hot a passage is, its groups have one row for each batch.
 """
@@ -38,6 +41,8 @@ from weftgraph.plans.lineage import materialize, release
 WINDOW, ROUNDS = 13, 3
 #: Words parsed at once, about.
 BLOCK = 400_000
+#: Rows of the table of exact copies up to which it is broadcast (12 bytes each); beyond, it is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Documents without an id come last.
 LAST = (1 << 63) - 1
 
@@ -59,14 +64,14 @@ def word_names(words: list[bytes]) -> np.ndarray:
 
 
 class Symbols:
-    """The symbols of one round: names, first word and length, and the words [low, high] that determine each.
+    """The symbols of one round: names, bytes of their words, and the words [low, high] that determine each.
 
     Symbols at the ends of a text, which no window determines, have high - low
     beyond any window.
     """
 
-    def __init__(self, name, first, size, low, high, doc):
-        self.name, self.first, self.size, self.low, self.high, self.doc = name, first, size, low, high, doc
+    def __init__(self, name, weight, low, high, doc):
+        self.name, self.weight, self.low, self.high, self.doc = name, weight, low, high, doc
         self.edge = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)  # last of its text
 
     def runs(self) -> Symbols:
@@ -79,7 +84,7 @@ class Symbols:
         many = count > 1
         name[many] = scramble(name[many] * _A + count[many])
         low, high = self._before()[i], self._after()[j]
-        return Symbols(name, self.first[i], self.first[j] + self.size[j] - self.first[i], low, high, self.doc[i])
+        return Symbols(name, np.add.reduceat(self.weight, i), low, high, self.doc[i])
 
     def pairs(self, round_: int) -> Symbols:
         """Neighbours of which the first is a left and the second a right symbol of this round become one."""
@@ -95,7 +100,7 @@ class Symbols:
         single, is_right = ~both, right[i]
         low = np.where(single & is_right, self._before()[i], self.low[i])
         high = np.where(single & ~is_right, self._after()[i], self.high[j])
-        return Symbols(name, self.first[i], self.first[j] + self.size[j] - self.first[i], low, high, self.doc[i])
+        return Symbols(name, np.where(both, self.weight[i] + self.weight[j], self.weight[i]), low, high, self.doc[i])
 
     def _before(self) -> np.ndarray:
         """Low end of the symbol before each; far away at the start of a text."""
@@ -110,10 +115,10 @@ class Symbols:
         return out
 
 
-def parse(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
+def parse(names: np.ndarray, doc: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
     """Symbols of the words, of the runs paired once, twice, ..."""
     at = np.arange(len(names), dtype=np.int32)
-    level = Symbols(names, at, np.ones(len(names), np.int32), at, at, doc)
+    level = Symbols(names, weight.astype(np.int32), at, at, doc)
     levels = [level]
     level = level.runs()
     for k in range(rounds):
@@ -122,11 +127,11 @@ def parse(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Symb
     return levels
 
 
-def picked(names: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def picked(names: np.ndarray, doc: np.ndarray, weight: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, first window, number of windows) of each maximal row of windows that pick the same occurrence.
 
-    ``names``, ``doc``: words of a few texts one after the other, and the number
-    of each word's text.
+    ``names``, ``doc``, ``weight``: words of a few texts one after the other, the
+    number of each word's text, and its bytes.
     """
     n = len(names)
     whole = np.zeros(n, bool)
@@ -134,7 +139,7 @@ def picked(names: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
         whole[: n - window + 1] = doc[window - 1 :] == doc[: n - window + 1]
     best, round_of = np.full(n, _NONE), np.zeros(n, np.int8)
     open_ = whole.copy()
-    levels = parse(names, doc, rounds) if n else []
+    levels = parse(names, doc, weight, rounds) if n else []
     for k in range(len(levels) - 1, -1, -1):
         s = levels[k]
         ok = np.flatnonzero(s.high - s.low < window)
@@ -144,7 +149,7 @@ def picked(names: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
         start = np.maximum(s.high[ok] - window + 1, 0)
         count = s.low[ok] - start + 1
         at = np.repeat(start - np.r_[0, np.cumsum(count)[:-1]].astype(np.int32), count) + np.arange(count.sum(), dtype=np.int32) if len(ok) else np.zeros(0, np.int32)
-        key = (scramble(s.name[ok]) >> np.uint64(36) << np.uint64(32)) | ok.astype(np.uint64) | (np.uint64(15) - np.minimum(s.size[ok], 15).astype(np.uint64)) << np.uint64(60)
+        key = (scramble(s.name[ok]) >> np.uint64(40) << np.uint64(32)) | ok.astype(np.uint64) | (np.uint64(255) - np.minimum(s.weight[ok], 255).astype(np.uint64)) << np.uint64(56)
         this = np.full(n, _NONE)
         np.minimum.at(this, at, np.repeat(key, count))
         take = open_ & (this != _NONE)
@@ -164,13 +169,13 @@ def picked(names: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
 
 
 def window_names(names: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names, as two numbers, of the windows that start at ``at``."""
+    """96-bit names, as numbers of 64 and of 32 bits, of the windows that start at ``at``."""
     a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k in range(window):
         w = names[at + k]
         a = a * _A + w
         b = (b ^ w) * _B + (b >> np.uint64(31))
-    return scramble(a), scramble(b + _A)
+    return scramble(a), (scramble(b + _A) & _LOW).astype(np.uint32)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -215,6 +220,21 @@ def _streamed(grouped: DataFrame, keys: int, answer, schema: str) -> DataFrame:
     return grouped.mapInArrow(run, schema)
 
 
+def later_copies(marked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, mark): rows of at least ``window`` words that have all words of a row of smaller id, in order."""
+    def roots(batch: pa.RecordBatch) -> dict:
+        name, long = [], []
+        for v in batch.column("text"):
+            words = (v.as_py() or "").encode().split()
+            name.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            long.append(len(words) >= window)
+        return {"doc": batch.column("doc"), "mark": batch.column("mark"), "root": name, "long": long}
+
+    named = materialize(per_batch(marked, roots, "doc bigint, mark int, root binary, long boolean").where("long").drop("long"))
+    first = named.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return materialize(named.join(first, "root").where("doc > least").select("doc", "mark").distinct())
+
+
 def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc, place): rows of windows whose symbol several documents have; place = 16 * first window + number of windows.
 
@@ -226,8 +246,8 @@ def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Dat
             size = np.array([*map(len, words)])
             doc = np.repeat(np.arange(len(words), dtype=np.int32), size)
             starts = np.cumsum(size) - size
-            names = word_names([w for ws in words for w in ws])
-            symbol, at, count = picked(names, doc, window, rounds)
+            flat = [w for ws in words for w in ws]
+            symbol, at, count = picked(word_names(flat), doc, np.fromiter(map(len, flat), np.int32, len(flat)), window, rounds)
             d = doc[at] if len(at) else np.zeros(0, np.int32)
             place = (at - starts[d]) << 4 | count
             order = np.argsort(symbol, kind="stable")
@@ -288,7 +308,7 @@ def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFra
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
             later = doc > least  # settled here
             route = np.where(later, scramble(a + p.astype(np.uint64) + doc.astype(np.uint64)), a)
-            yield {"a": route.view(np.int64), "b": np.where(later, np.uint64(0), b).view(np.int64), "doc": doc, "mark": mark, "at": np.where(later, -1 - p, p).astype(np.int32)}
+            yield {"a": route.view(np.int64), "b": np.where(later, np.uint32(0), b).view(np.int32), "doc": doc, "mark": mark, "at": np.where(later, -1 - p, p).astype(np.int32)}
 
     def verified(a, b, doc, mark, at):
         done = at < 0
@@ -300,7 +320,7 @@ def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFra
             later = np.zeros(0, bool)
         return {"doc": np.concatenate([doc[done], rd[later]]), "mark": np.concatenate([mark[done], mark[~done][later]]), "at": np.concatenate([-1 - at[done], at[~done][later]]).astype(np.int32)}
 
-    rows = per_batch(docs.join(places, "doc").select("doc", "mark", "text", "places"), windows, "a bigint, b bigint, doc bigint, mark int, at int")
+    rows = per_batch(docs.join(places, "doc").select("doc", "mark", "text", "places"), windows, "a bigint, b int, doc bigint, mark int, at int")
     return _streamed(rows.repartition("a", "b").sortWithinPartitions("a", "b"), 2, verified, "doc bigint, mark int, at int")
 
 
@@ -315,26 +335,30 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     """
     body = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
     marked = body.withColumn("mark", F.hash(F.coalesce("text", F.lit(""))))
-    found = materialize(revealed(body, window, rounds))
+    copies = later_copies(marked, window)
+    few = copies.count() <= MOST_BROADCAST
+    firsts = marked.join(F.broadcast(copies) if few else copies, ["doc", "mark"], "left_anti")
+    found = materialize(revealed(firsts.select("doc", "text"), window, rounds))
     release(docs.sparkSession)
-    gone = materialize(repeated(marked, found, window))
+    gone = materialize(repeated(firsts, found, window))
     release(docs.sparkSession)
-    gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("gone"))
+    gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("gone")).unionByName(copies.withColumn("gone", F.array(F.lit(-1))))
 
     def kept(batch: pa.RecordBatch) -> dict:
         n, removed, out = [], [], []
-        starts, texts = batch.column("gone"), batch.column("text")
-        for t, g in zip(texts, starts):
+        for t, g in zip(batch.column("text"), batch.column("gone")):
             words = (t.as_py() or "").encode().split()
             n.append(len(words))
             if g.is_valid and len(g.values):
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = g.values.to_numpy()
-                edge[at] += 1
-                np.subtract.at(edge, at + window, 1)
-                out_ = np.cumsum(edge[:-1]) > 0
-                removed.append(int(out_.sum()))
-                words = [w for w, x in zip(words, out_.tolist()) if not x]
+                at, edge = g.values.to_numpy(), np.zeros(len(words) + 1, np.int64)
+                if at[0] < 0:  # a later copy
+                    edge[0] = 1
+                else:
+                    edge[at] += 1
+                    np.subtract.at(edge, at + window, 1)
+                covered = np.cumsum(edge[:-1]) > 0
+                removed.append(int(covered.sum()))
+                words = [w for w, x in zip(words, covered.tolist()) if not x]
             else:
                 removed.append(0)
             out.append(b" ".join(words).decode())
