@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,5 +54,7 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more, between the phases of a long operator."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the second round finds what the first has let go of
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
