@@ -26,14 +26,18 @@ def words_of(text: Column | str) -> Column:
     return F.filter(F.split(t, SPACES), lambda w: w != "")
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` whose workers on this machine find the package even if only the driver's path names it; clusters ship it with --py-files."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one batch into columns (a dict of arrays), or several of them, or none."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
-    #: Workers on this machine find the package even if only the driver's path names it; clusters ship it with --py-files.
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +45,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
             for cols in [out] if isinstance(out, dict) else out or ():
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=False) for c, f in ((cols[f.name], f) for f in arrow)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return in_arrow(df, run, kind)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import per_batch
+from weftgraph.llm.common import in_arrow, per_batch
 from weftgraph.plans.lineage import materialize
 
 #: Error bound in standard deviations (the paper's value).
@@ -143,7 +143,7 @@ def _search(index: DataFrame, queries: np.ndarray, reps: np.ndarray, floor: np.n
         if len(best.q):
             yield pa.RecordBatch.from_arrays([pa.array(q_reps[best.q]), pa.array(best.score), pa.array(best.id), pa.array([kept[i] for i in best.row.tolist()], pa.list_(pa.int64()))], names=["query_rep", "score", "rep", "ids"])
 
-    return index.mapInArrow(run, "query_rep bigint, score double, rep bigint, ids array<bigint>")
+    return in_arrow(index, run, "query_rep bigint, score double, rep bigint, ids array<bigint>")
 
 
 def _matrix(rows: list, dim: int) -> np.ndarray:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, per_batch
+from weftgraph.llm.common import documents, in_arrow, per_batch
 from weftgraph.plans.lineage import materialize, release
 
 #: Words of a window, and rounds of pairs. Three rounds leave hardly a window without a symbol of the last.
@@ -217,7 +217,7 @@ def _streamed(grouped: DataFrame, keys: int, answer, schema: str) -> DataFrame:
         if tail is not None:
             yield pa.RecordBatch.from_pydict(answer(*tail))
 
-    return grouped.mapInArrow(run, schema)
+    return in_arrow(grouped, run, schema)
 
 
 def later_copies(marked: DataFrame, window: int = WINDOW) -> DataFrame:

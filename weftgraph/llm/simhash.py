@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, per_batch, texts
+from weftgraph.llm.common import documents, in_arrow, per_batch, texts
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import materialize
 
@@ -224,7 +224,7 @@ def links(fps: DataFrame, limit: int = 2, refine: int = REFINE) -> DataFrame:
         if len(tail):
             yield found(tail)
 
-    return grouped.select(*names, "fp").mapInArrow(run, "src bigint, dst bigint").distinct()
+    return in_arrow(grouped.select(*names, "fp"), run, "src bigint, dst bigint").distinct()
 
 
 def components(fps: DataFrame, limit: int = 2, key: str = "doc_id", refine: int = REFINE) -> DataFrame:
