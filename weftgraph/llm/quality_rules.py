@@ -167,3 +167,24 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = measures(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = cascade(base, sample=measures(sample), first=F.col("base_failed"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Measures and verdict of the query in SQL; the order of the rules does not matter there.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM t),
+x AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER f || ' ' || lead(w, 2) OVER f AS s FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i)),
+y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM x WHERE s IS NOT NULL) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM y, range(0, 3) q(j) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+d AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines, count(DISTINCT line) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS kinds,
+        count(*) AS all_lines, count(*) FILTER (WHERE line LIKE '%...' OR line LIKE '%…') AS dots FROM l GROUP BY 1),
+m AS (SELECT t.doc_id, text, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols, (lines - kinds)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, lines, all_lines, dots,
+        length(text) - length(regexp_replace(text, '\p{L}+', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g')) AS capitals, length(text) - length(regexp_replace(text, '[!?]+', '', 'g')) AS marks
+      FROM t JOIN d ON d.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR letters < 0.6 * word_chars OR n_symbols > 0.05 * word_chars OR capitals > 0.5 * word_chars OR marks > 0.1 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR (n_dup_lines > 0 AND lines < 2 * n_dup_lines) OR dots > 0.3 * all_lines) AS kept FROM b
+"""

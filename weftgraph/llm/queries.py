@@ -19,12 +19,12 @@ def queries() -> dict[str, Query]:
         "op4_personal_data": pii.op4_personal_data,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_quality_cascade": quality_rules.op6_quality_cascade,
-        "op8_recompression_dedup": recompression.op8_recompression_dedup,
         "op7_poisson_mix": mixing.op7_poisson_mix,
-        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op8_recompression_dedup": recompression.op8_recompression_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_poisson_mix": mixing.ORACLE}
+    return {"op6_quality_cascade": quality_rules.ORACLE, "op7_poisson_mix": mixing.ORACLE, "op8_recompression_dedup": recompression.ORACLE}

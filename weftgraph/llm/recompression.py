@@ -373,3 +373,15 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 13 words that an earlier one has, as counts and a digest."""
     out = dedup_substrings(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The query by windows spelled out: every word with the twelve after it.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM t),
+x AS (SELECT doc_id, i, string_agg(w, ' ') OVER f AS s, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM x WHERE n = 13),
+g AS (SELECT DISTINCT doc_id, i + j AS i FROM m, range(0, 13) q(j) WHERE least < doc_id),
+k AS (SELECT w.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS gone, string_agg(w.w, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS left_ FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY 1)
+SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
