@@ -37,27 +37,33 @@ FALSE_ALARM = 5e-4
 FUNCTION_WORDS = ("the", "and", "of", "to", "in", "is", "that", "for", "der", "die", "und", "das", "ist", "von", "den", "mit", "le", "la", "les", "de", "des", "et", "est", "que", "el", "los", "en", "y", "las", "por", "un", "a")
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """-1 (bad), 1 (good) or 0 (no vote) of each labeller, for a text column without nulls. Texts without words get no votes."""
-    def vote(x: Column, bad: Column, good: Column) -> Column:
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, text without nulls) with what the labellers look at, each computed once."""
+    text = F.col("text")
+    without_class = lambda c: F.length(text) - F.length(F.regexp_replace(text, c, ""))
+    words = let(word_array(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).alias("same"), F.size(F.filter(w, lambda x: F.lower(x).isin(*FUNCTION_WORDS))).alias("frequent")))
+    lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("kinds")))
+    return rows.select(
+        "k", "text", without(text, BLANKS).alias("body"), (F.length(text) - without(text, SYMBOLS)).alias("symbols"), (F.length(text) - without(text, "!?")).alias("marks"),
+        without_class(r"\p{Lu}+").alias("capitals"), without_class(r"\p{L}+").alias("letters"), words.alias("w"), lines.alias("l"),
+    )
+
+
+def votes() -> dict[str, Column]:
+    """-1 (bad), 1 (good) or 0 (no vote) of each labeller, over the columns of ``measured``. Texts without words get no votes."""
+    def vote(bad: Column, good: Column) -> Column:
         return F.when(body == 0, 0).when(bad, -1).when(good, 1).otherwise(0).cast("int")
 
-    body = without(text, BLANKS)
-    symbols = F.length(text) - without(text, SYMBOLS)
-    capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    marks = F.length(text) - without(text, "!?")
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
-    words = word_array(text)
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).alias("d"), F.size(F.filter(w, lambda x: F.lower(x).isin(*FUNCTION_WORDS))).alias("f")))
-    lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    body, n, frequent, same, lines, kinds = (F.col(c) for c in ("body", "w.n", "w.frequent", "w.same", "l.n", "l.kinds"))
+    symbols, capitals, marks, letters = (F.col(c) for c in ("symbols", "capitals", "marks", "letters"))
     return {
-        "symbols": vote(symbols, symbols > 0.05 * body, symbols < 0.01 * body),
-        "capitals": vote(capitals, capitals > 0.5 * body, capitals < 0.2 * body),
-        "marks": vote(marks, marks > 0.1 * body, marks < 0.03 * body),
-        "letters": vote(letters, letters < 0.6 * body, letters > 0.85 * body),
-        "function_words": let(of_words, lambda w: vote(w, (w["n"] >= 50) & (w["f"] < 0.03 * w["n"]), w["f"] > 0.1 * w["n"])),
-        "stutter": let(of_words, lambda w: vote(w, (w["n"] >= 20) & (w["d"] > 0.2 * w["n"]), w["d"] < 0.05 * w["n"])),
-        "lines": let(lines, lambda x: vote(x, (x["n"] >= 4) & (x["d"] < 0.5 * x["n"]), (x["n"] >= 4) & (x["d"] > 0.9 * x["n"]))),
+        "symbols": vote(symbols > 0.05 * body, symbols < 0.01 * body),
+        "capitals": vote(capitals > 0.5 * body, capitals < 0.2 * body),
+        "marks": vote(marks > 0.1 * body, marks < 0.03 * body),
+        "letters": vote(letters < 0.6 * body, letters > 0.85 * body),
+        "function_words": vote((n >= 50) & (frequent < 0.03 * n), frequent > 0.1 * n),
+        "stutter": vote((n >= 20) & (same > 0.2 * n), same < 0.05 * n),
+        "lines": vote((lines >= 4) & (kinds < 0.5 * lines), (lines >= 4) & (kinds > 0.9 * lines)),
     }
 
 
@@ -67,8 +73,7 @@ LABELLERS = ("symbols", "capitals", "marks", "letters", "function_words", "stutt
 def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text, one column of votes for each labeller); a null text is empty."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    v = votes(F.col("text"))
-    return rows.select("k", "text", *[v[n].alias(n) for n in LABELLERS])
+    return measured(rows).select("k", "text", *[v.alias(n) for n, v in votes().items()])
 
 
 def posteriors(votes_of: DataFrame) -> dict[tuple[int, ...], float]:
@@ -171,9 +176,10 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int
     corpus gives the labellers' accuracies; the scorer is trained on at most
     ``rows`` documents, those of least hash of the key.
     """
-    found = labelled(docs, text, key)
-    post = posteriors(found.select(*LABELLERS))
-    some = found.join(F.broadcast(docs.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)), "k").orderBy(F.xxhash64("k"), "k", "text").limit(rows).collect()
+    post = posteriors(labelled(docs, text, key).select(*LABELLERS))
+    chosen = docs.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
+    some = labelled(some, "text", "k").orderBy(F.xxhash64("k"), "k", "text").limit(rows).collect()
     scorer = train([r["text"] for r in some], [post[tuple(r[n] for n in LABELLERS)] for r in some])
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
