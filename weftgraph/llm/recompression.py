@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents, in_arrow, per_batch
-from weftgraph.plans.lineage import materialize, release
+from weftgraph.plans.lineage import discard, materialize, release
 
 #: Words of a window, and rounds of pairs. Three rounds leave hardly a window without a symbol of the last.
 WINDOW, ROUNDS = 13, 3
@@ -232,7 +232,9 @@ def later_copies(marked: DataFrame, window: int = WINDOW) -> DataFrame:
 
     named = materialize(per_batch(marked, roots, "doc bigint, mark int, root binary, long boolean").where("long").drop("long"))
     first = named.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return materialize(named.join(first, "root").where("doc > least").select("doc", "mark").distinct())
+    found = materialize(named.join(first, "root").where("doc > least").select("doc", "mark").distinct())
+    discard(named)
+    return found
 
 
 def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -341,6 +343,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     found = materialize(revealed(firsts.select("doc", "text"), window, rounds))
     release(docs.sparkSession)
     gone = materialize(repeated(firsts, found, window))
+    discard(found)
     release(docs.sparkSession)
     gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("gone")).unionByName(copies.withColumn("gone", F.array(F.lit(-1))))
 
