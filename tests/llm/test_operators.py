@@ -482,10 +482,14 @@ def test_toxicity_learns(spark, odd, nothing):
 def test_held_out_rows_are_not_learnt(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    texts, y = toxicity.training_rows(docs, labels)
-    ids = [int(t.split()[1]) for t in texts]
+    rows = toxicity.training_rows(docs, labels).collect()
+    ids, y = [int(r["text"].split()[1]) for r in rows], [r["y"] for r in rows]
     assert sorted(ids) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 5] and y == [i % 2 for i in ids]
-    assert len(toxicity.training_rows(docs, labels, rows=10)[0]) == 10
+    few = toxicity.training_rows(docs, labels, rows=10)
+    assert few.count() == 10
+    net, again = toxicity.fit(few), toxicity.train([r["text"] for r in few.collect()], [r["y"] for r in few.collect()])
+    assert np.allclose(net.last, again.last, atol=1e-4)
+    assert toxicity.fit(few.limit(0)).p.keys() == again.p.keys()
 
 
 # ---- 10

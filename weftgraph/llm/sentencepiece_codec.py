@@ -33,7 +33,7 @@ from weftgraph.llm.common import blocks, documents, list_array, per_batch
 SEP = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Distinct cuts that a worker keeps at most, twice (a young and an old table).
-CACHE = 150_000
+CACHE = 100_000
 #: Characters coded at once, about.
 BATCH_CHARS = 1_000_000
 #: Longer cuts are merged with a heap.

@@ -15,6 +15,8 @@ whatever the data, and is fitted to a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import documents, per_batch
+from weftgraph.llm.common import documents, in_arrow, per_batch
 
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 32, 24
@@ -37,7 +39,7 @@ TOP = 4
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4000
 #: Words whose inputs a worker keeps, and windows scored at once.
-CACHE, BATCH = 200_000, 2048
+CACHE, BATCH = 120_000, 2048
 #: Words read at once, about.
 BLOCK = 300_000
 
@@ -68,7 +70,14 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     stops = np.searchsorted(owner[order], np.arange(len(words)), side="right")
-    return bucket.astype(np.int64), np.concatenate(grams)[order].astype(np.int64), stops
+    return bucket.astype(np.int32), np.concatenate(grams)[order].astype(np.int32), stops
+
+
+def many_features(words: list[bytes], some: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_features`` of many words, ``some`` at a time."""
+    parts = [word_features(words[a : a + some]) for a in range(0, len(words), some)]
+    shift = np.cumsum([0] + [len(g) for _, g, _ in parts])
+    return np.concatenate([b for b, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), np.concatenate([e + s for (_, _, e), s in zip(parts, shift)])
 
 
 @dataclass
@@ -106,6 +115,16 @@ class Network:
         """What the input adds to the gates of both directions: (2, words, 3 STATES)."""
         return x @ self.p["inp"] + self.p["inp_b"]
 
+    def all_gates(self, feats: tuple[np.ndarray, np.ndarray, np.ndarray], some: int = 20_000) -> np.ndarray:
+        """``gates`` of many words, ``some`` at a time."""
+        bucket, grams, stops = feats
+        starts = np.r_[0, stops[:-1]]
+        out = np.zeros((2, len(bucket), 3 * STATES), np.float32)
+        for a in range(0, len(bucket), some):
+            b = min(a + some, len(bucket))
+            out[:, a:b] = self.gates(self.embed((bucket[a:b], grams[starts[a] : stops[b - 1]], stops[a:b] - starts[a])))
+        return out
+
     # ---- one batch of windows
 
     def forward(self, g: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -225,7 +244,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, b
     lengths = np.array([*map(len, read)])
     ids = np.concatenate(read)
     del read
-    feats = word_features(list(vocab))
+    feats = many_features(list(vocab)) if vocab else word_features([b"-"])
     del vocab
     gram_starts = np.r_[0, feats[2][:-1]]
     starts, sizes, counts = windows_of(lengths)
@@ -264,7 +283,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, b
             net.p[k][some] -= 3 * rate * total / np.sqrt(squares[k][some])
 
     def all_logits() -> np.ndarray:
-        return net.logits(ids, starts, sizes, net.gates(net.embed(feats)))
+        return net.logits(ids, starts, sizes, net.all_gates(feats))
 
     chosen_yes = np.flatnonzero(toxic)
     no = np.flatnonzero(~toxic)
@@ -330,14 +349,28 @@ class Scorer:
         return self.net.score(self.net.document_features(logits, counts))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic", held_out: bool = True) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, in the order of a hash of the key. ``held_out``: not those that ``is_held_out`` names."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic", held_out: bool = True) -> DataFrame:
+    """(k, text, y): at most ``rows`` labelled texts, those of least hash of the key, in that order, in one partition. ``held_out``: not those that ``is_held_out`` names."""
     named = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     if held_out:
         named = named.where(~is_held_out(F.col("k")))
     named = named.orderBy(F.xxhash64("k"), "k").limit(rows)
-    some = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(named), "k").orderBy(F.xxhash64("k"), "k", "text").limit(rows).collect()
-    return [r["text"] for r in some], [r["y"] for r in some]
+    some = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(named), "k")
+    return some.select("k", "text", "y").orderBy(F.xxhash64("k"), "k", "text").limit(rows)
+
+
+def fit(rows: DataFrame) -> Network:
+    """The network for ``training_rows``, trained in one task on an executor: the driver gets the finished model only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += [v.as_py() for v in batch.column("text")]
+            labels += batch.column("y").to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(train(texts, labels))]})
+
+    found = in_arrow(rows.coalesce(1), run, "net binary").collect()
+    return pickle.loads(bytes(found[0]["net"])) if found else train([], [])
 
 
 def is_held_out(key):
@@ -384,6 +417,6 @@ def _scorer(sent) -> Scorer:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a network trained on labels that are not held out."""
     docs = documents(spark, sf_dir)
-    net = train(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    net = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = with_scores(docs.select("doc_id", "text"), net)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
