@@ -105,9 +105,9 @@ def sym_norm(spark, sf_dir):
     return graph.sym_norm(near(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"WITH {NEAR}, x AS (SELECT vec_id AS v, unnest(e) AS x, unnest(range(0, len(e)))::INT AS pos FROM v) SELECT src AS v, pos, round(avg(x), 6) AS x FROM e JOIN x ON dst = x.v GROUP BY 1, 2")
+@query(f"WITH {NEAR}, x AS (SELECT vec_id AS v, unnest(e) AS x, unnest(range(0, len(e)))::INT AS pos FROM v) SELECT src AS v, pos, round(avg(x), 6) + 0.0 AS x FROM e JOIN x ON dst = x.v GROUP BY 1, 2")
 def mean_message_pass(spark, sf_dir):
-    return graph.mean_messages(near(spark, sf_dir), vectors(spark, sf_dir)).withColumn("x", F.round("x", 6))
+    return graph.mean_messages(near(spark, sf_dir), vectors(spark, sf_dir)).withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(f"WITH RECURSIVE {BOUGHT}, r AS (SELECT src AS v, src AS o FROM e UNION SELECT r.v, e.dst FROM r JOIN e ON r.o = e.src) SELECT v, min(o) AS component FROM r GROUP BY 1")
@@ -160,9 +160,9 @@ def _smoothed(hops: int) -> str:
     return f"WITH {NEAR}, {', '.join(ctes)} "
 
 
-@query(_smoothed(2) + "SELECT v, pos, round(x, 6) AS x FROM x2")
+@query(_smoothed(2) + "SELECT v, pos, round(x, 6) + 0.0 AS x FROM x2")
 def sgc_two_hops(spark, sf_dir):
-    return graph.smoothed(near(spark, sf_dir), vectors(spark, sf_dir), 2).withColumn("x", F.round("x", 6))
+    return graph.smoothed(near(spark, sf_dir), vectors(spark, sf_dir), 2).withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(_smoothed(2) + """, m AS (SELECT label::BIGINT AS cluster, pos, avg(x) AS mean FROM x2 JOIN v ON vec_id = x2.v GROUP BY 1, 2),
