@@ -21,7 +21,8 @@ would become in the end, shows exact copies, which need no further look.
 
 Before the other shuffles each task looks at its own rows: a symbol that several of
 its documents share needs no answer and sends one row, a window sends only its
-first document. However hot a passage is, its groups have one row for each batch.
+first document, and a text asks once for all its places. However hot a passage is,
+its groups have a few rows for each batch.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from weftgraph.plans.lineage import discard, materialize, release
 WINDOW, ROUNDS = 13, 3
 #: Words parsed at once, about.
 BLOCK = 400_000
+#: Occurrences of a symbol in the texts of a block beyond which it needs no second text to be looked at.
+FREQUENT = 4
 #: Rows of the table of exact copies up to which it is broadcast (12 bytes each); beyond, it is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Documents without an id come last.
@@ -257,13 +260,15 @@ def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Dat
             group = _changes(symbol)
             g = np.cumsum(group) - 1
             low, high = (f.reduceat(d, np.flatnonzero(group)) if len(d) else d for f in (np.minimum, np.maximum))
-            known = (low < high)[g] if len(d) else np.zeros(0, bool)
+            # shared here, or so frequent in one text that its windows are looked at anyhow
+            sure = (low < high) | (np.bincount(g, minlength=len(low)) > FREQUENT)
+            known = sure[g]
             # rows that need no answer go anywhere; one row with place 0 speaks for them
             route = np.where(known, scramble(symbol + place.astype(np.uint64) + d.astype(np.uint64)), symbol)
-            some = np.flatnonzero(group)[low < high] if len(d) else np.zeros(0, int)
+            some = np.flatnonzero(group)[sure]
             yield {
                 "route": np.concatenate([route, symbol[some]]).view(np.int64),
-                "doc": np.concatenate([d, low[low < high]]) if len(d) else d,
+                "doc": np.concatenate([d, low[sure]]),
                 "place": np.concatenate([np.where(known, -place, place), np.zeros(len(some), np.int64)]).astype(np.int32),
             }
 
@@ -281,7 +286,9 @@ def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Dat
 
 
 def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, mark, at): windows, by first word, that also start in a document of smaller id. mark: the text's hash.
+    """(doc, mark, at): windows that also start in a document of smaller id. mark: the text's hash.
+
+    at: twice the window's first place, plus one if the text has it in more places.
 
     ``found``: what ``revealed`` gave for ``docs``; no other windows are looked at.
     """
@@ -304,8 +311,12 @@ def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFra
             p, d = p[fits], d[fits]
             a, b = window_names(names, starts[d] + p, window)
             doc, mark = ids[first : first + len(words)][d], marks[first : first + len(words)][d]
-            order = np.lexsort((p, doc, b, a))
+            order = np.lexsort((p, mark, doc, b, a))
             a, b, doc, mark, p = (x[order] for x in (a, b, doc, mark, p))
+            # a text asks once for all places of a window
+            ask = np.flatnonzero(_changes(a, b, doc, mark))
+            more = np.diff(np.r_[ask, len(a)]) > 1
+            a, b, doc, mark, p = a[ask], b[ask], doc[ask], mark[ask], p[ask] << 1 | more
             new = _changes(a, b)
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
             later = doc > least  # settled here
@@ -357,8 +368,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
                 if at[0] < 0:  # a later copy
                     edge[0] = 1
                 else:
-                    edge[at] += 1
-                    np.subtract.at(edge, at + window, 1)
+                    first = at >> 1
+                    if (at & 1).any():
+                        all_, _ = window_names(word_names(words), np.arange(len(words) - window + 1), window)
+                        first = np.union1d(first, np.flatnonzero(np.isin(all_, all_[first[(at & 1) > 0]])))
+                    edge[first] += 1
+                    np.subtract.at(edge, first + window, 1)
                 covered = np.cumsum(edge[:-1]) > 0
                 removed.append(int(covered.sum()))
                 words = [w for w, x in zip(words, covered.tolist()) if not x]
