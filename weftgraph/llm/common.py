@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -29,21 +32,40 @@ def words_of(text: Column | str) -> Column:
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` whose workers on this machine find the package even if only the driver's path names it; clusters ship it with --py-files."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(run, schema)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one batch into columns (a dict of arrays), or several of them, or none."""
+    return df.mapInArrow(whole, schema)
+
+
+def trim() -> None:
+    """Give a worker's free memory back: it lives on for other tasks, beside those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str | T.StructType, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns one batch into columns (a dict of arrays), or several of them, or none. ``after``: what a task does at its end."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            for cols in [out] if isinstance(out, dict) else out or ():
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=False) for c, f in ((cols[f.name], f) for f in arrow)], schema=arrow)
+        try:
+            for batch in batches:
+                out = fn(batch)
+                for cols in [out] if isinstance(out, dict) else out or ():
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=False) for c, f in ((cols[f.name], f) for f in arrow)], schema=arrow)
+        finally:
+            if after is not None:
+                after()
 
     return in_arrow(df, run, kind)
 

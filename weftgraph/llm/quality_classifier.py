@@ -188,7 +188,7 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int
         return {"k": batch.column("k"), "score": np.array([s.score(v.as_py() or "") for v in batch.column("text")])}
 
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    out = per_batch(body, run, f"k {body.schema['k'].dataType.simpleString()}, score double")
+    out = per_batch(body, run, f"k {body.schema['k'].dataType.simpleString()}, score double", lambda: sent.value.known.clear())
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= accept).alias("kept"))
 
 

@@ -117,6 +117,10 @@ class Cuts(dict):
             self[cut] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def prepare(self, cuts: set[str]) -> None:
         """Take in the cuts not known yet, together. Makes room first."""
         if len(self) > CACHE:
@@ -470,7 +474,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...
                 cols["decoded"] = [codec.decode(d[0]) for d in done]
             yield cols
 
-    out = per_batch(rows, run, kinds + "ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
+    out = per_batch(rows, run, kinds + "ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded, lambda: _codec(model).cuts.forget())
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "ids", "begins", "ends", *["decoded"] * decoded)
 
 

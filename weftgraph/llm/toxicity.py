@@ -398,13 +398,17 @@ def with_scores(docs: DataFrame, net: Network, text: str = "text", to: str = "sc
         return {f"c{i}": batch.column(f"c{i}") for i in range(len(rest))} | {"score": np.concatenate(scores) if scores else np.zeros(0)}
 
     kind = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(rest)] + [T.StructField("score", T.DoubleType())])
-    out = per_batch(body, run, kind)
+    out = per_batch(body, run, kind, forget)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("score").alias(to))
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
+def forget() -> None:
+    _SCORERS.clear()
+
+
 def _scorer(sent) -> Scorer:
     """A worker's scorer for a broadcast network, kept from batch to batch."""
     net = sent.value
