@@ -322,6 +322,22 @@ def test_near_duplicates(spark, odd, nothing):
     assert near_duplicates.drop_near_duplicates(nothing).count() == 0
 
 
+def test_small_sets_are_decided_by_their_shingles(spark):
+    r, rows = random.Random(21), []
+    for g in range(60):
+        t = [f"w{r.randrange(10**9)}" for _ in range(8)]
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join([*t, "more"]))]  # 4 shingles in 5
+    for g in range(60, 120):
+        t = [f"w{r.randrange(10**9)}" for _ in range(12)]
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join([*t[:11], "other"]))]  # 7 common of 9
+    pairs = spark.createDataFrame([(2 * g, 2 * g + 1) for g in range(120)], "a long, b long")
+    df = spark.createDataFrame(rows, "doc long, text string")
+    found = near_duplicates.similarity_of(pairs, near_duplicates.profiles(df, 16)).collect()
+    assert len(found) == 120 and all(abs(x["alike"] - 0.8) < near_duplicates.MARGIN for x in found)
+    same = near_duplicates.exactly_alike(pairs, df, 0.8)
+    assert sorted(x["a"] for x in same.collect()) == list(range(0, 120, 2))
+
+
 # ---- 6
 
 
