@@ -338,6 +338,30 @@ def test_small_sets_are_decided_by_their_shingles(spark):
     assert sorted(x["a"] for x in same.collect()) == list(range(0, 120, 2))
 
 
+def test_wide_keys_are_shared_as_often():
+    r = np.random.default_rng(31)
+    few = lambda n: [r.bytes(12) for _ in range(n)]
+    pairs = []
+    for _ in range(400):
+        common = few(160)
+        pairs.append([near_duplicates.counts_of(common + few(20)) for _ in range(2)])  # 160 of 200
+    for bits in (16, 22, 26, 30):
+        chosen = near_duplicates.selections(bits)
+        assert sum(np.intersect1d(*(near_duplicates.keys_of(c, chosen) for c in p)).size > 0 for p in pairs) >= 397, bits
+    assert {near_duplicates.key_bits(1 << k) for k in range(40)} <= set(near_duplicates.TABLES)
+
+
+def test_small_sets_share_a_lowest_hash():
+    r = np.random.default_rng(32)
+    for n in range(1, 90):
+        for m in range(n, n * 5 // 4 + 1):
+            need = -(-4 * (n + m) // 9)  # common >= 0.8 of the union
+            if need <= n and (n, m) != (need, need):
+                x = r.integers(0, 1 << 63, n + m - need, dtype=np.uint64) * np.uint64(2)
+                a, b = (near_duplicates.prefix_keys(np.unique(v), 0.8) for v in (x[:n], x[n - need :]))
+                assert np.intersect1d(a, b).size, (n, m)
+
+
 # ---- 6
 
 
