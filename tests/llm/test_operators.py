@@ -362,6 +362,42 @@ def test_small_sets_share_a_lowest_hash():
                 assert np.intersect1d(a, b).size, (n, m)
 
 
+def test_large_groups_of_a_template(spark):
+    """Texts of one template are 0.5 to 0.7 alike, too near for keys to tell apart; a few have a near copy."""
+    r, rows = random.Random(41), []
+    word = lambda: f"w{r.randrange(10**9)}"
+    shared = [word() for _ in range(120)]
+    for g in range(250):
+        own = [word() for _ in range(r.randint(20, 40))]
+        rows.append((len(rows), " ".join(shared + own)))
+        if g % 5 == 0:
+            copy = list(shared)
+            copy[60:63] = [word(), word(), word()]
+            rows.append((len(rows), " ".join(copy + own)))
+    want = brute_groups(rows)
+    listed = near_duplicates.profiles(spark.createDataFrame(rows, "doc long, text string"), 16)
+    sets = listed.selectExpr("doc", "same", "n", "print", "near", "array(1L) as keys")  # one key: the group has all texts
+    found = near_duplicates.candidate_pairs(sets).cache()
+    some = spark.createDataFrame([], "v long, component long")
+    apart = near_duplicates.pairs_in_large(found.where("b is null").selectExpr("key", "a as doc"), sets, some)
+    pairs = {(x["a"], x["b"]) for x in found.where("b is not null").select("a", "b").union(apart).collect()}
+    members = {i for i, _ in rows}
+    text = dict(rows)
+    parts = {i: set(simhash.shingles(text[i], 5)) for i in members}
+    alike = {(a, b) for a in members for b in members if a < b and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])}
+    assert want and alike <= pairs
+    tiles, near_duplicates.TILE = near_duplicates.TILE, 64
+    try:
+        found = near_duplicates.candidate_pairs(sets).where("b is null").selectExpr("key", "a as doc").collect()
+    finally:
+        near_duplicates.TILE = tiles
+    met = collections.defaultdict(set)
+    for x in found:
+        met[x["key"]].add(x["doc"])
+    assert max(map(len, met.values())) <= 128 and all(any({a, b} <= v for v in met.values()) for a in range(len(rows)) for b in range(a))
+    assert dict(near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # ---- 6
 
 
