@@ -170,6 +170,22 @@ def test_markov_models_tell_keys_from_identifiers():
     assert [s[0] for s in found] == ["markov"]
 
 
+def test_secrets_behind_ordinary_text():
+    r, model = random.Random(51), secrets.default_model()
+    for before in ("com/services/", "com/api/v1/users/", "reset_link=", "sk_live_"):
+        hits = 0
+        for _ in range(300):
+            key = "".join(r.choices(secrets.ALPHABET[:62], k=24))
+            at = 4 + len(before)
+            hits += any(s <= at and e >= at + 24 for _, s, e in secrets.find_spans(f"see {before}{key}/list now", model))
+        assert hits >= 291, before
+    plain = [s for s, y in secrets.labelled_samples(3000, seed=78) if not y]
+    assert sum(bool(secrets.find_spans("/".join(plain[i : i + 3]), model)) for i in range(0, len(plain), 3)) <= 0.005 * len(plain) / 3
+    text = "AKIA" + "Z9" * 8 + "/wJalrXUtnFEMIk7MDENGbPxRfiCYq3kd"  # the second half of a token that a pattern touches
+    found = secrets.find_spans(text, model)
+    assert [s[0] for s in found] == ["access", "markov"] and found[1][2] == len(text)
+
+
 def test_scan_and_redaction_of_odd_rows(odd, nothing):
     out = secrets.scan(odd)
     assert out.count() == odd.count() and secrets.scan(nothing).count() == 0

@@ -3,7 +3,9 @@
 Two Markov chains over characters, one fitted to labelled random strings and one
 to labelled ordinary words and identifiers, score every long enough token. A
 token whose log-likelihood ratio per character passes a threshold is a span of
-kind ``markov``, unless a pattern's span already overlaps it. The models are a
+kind ``markov``; of other tokens, the best runs of segments between / = _ - +
+are, so that ordinary text in the same token hides nothing. What a pattern's span
+covers is left out, the rest of its token is judged. The models are a
 few tables of 66 by 66 numbers; scoring needs one pass over the text and no
 shuffle.
 """
@@ -30,6 +32,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+CUT = re.compile(r"[/=_+-]+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -109,6 +112,37 @@ class MarkovRatio:
         return float(self.table[-1, c[0]] + self.table[c[:-1], c[1:]].sum()) / len(c) if len(c) else 0.0
 
 
+    def spans(self, word: str, min_ratio: float) -> list[tuple[int, int]]:
+        """Places of what is random in a token: all of it, or else the run of whole segments that is most so, and what is left and right of it likewise."""
+        out, todo = [], [(0, len(word))]
+        while todo:
+            a, b = todo.pop()
+            part = word[a:b]
+            if b - a < MIN_TOKEN or part.isdigit():
+                continue
+            if self.ratio(part) >= min_ratio:
+                out.append((a, b))
+                continue
+            cuts = [m.span() for m in CUT.finditer(part)]
+            if not cuts:
+                continue
+            starts = np.array([0] + [e for _, e in cuts])
+            ends = np.array([s for s, _ in cuts] + [b - a])
+            c = self._codes(part)
+            total = np.r_[0.0, np.cumsum(np.r_[self.table[-1, c[0]], self.table[c[:-1], c[1:]]] - min_ratio)]
+            below, at = total[starts], np.searchsorted(starts, ends - MIN_TOKEN, side="right") - 1
+            least = np.minimum.accumulate(below)
+            gain = np.where(at >= 0, total[ends] - least[at], -1.0)
+            j = int(gain.argmax())
+            if gain[j] < 0:
+                continue
+            s, e = int(starts[: at[j] + 1][below[: at[j] + 1].argmin()]), int(ends[j])
+            todo += [(a, a + s), (a + e, b)]
+            if any(ch.isalpha() for ch in part[s:e]):
+                out.append((a + s, a + e))
+        return sorted(out)
+
+
 @lru_cache(1)
 def default_model() -> MarkovRatio:
     return MarkovRatio(labelled_samples())
@@ -131,9 +165,11 @@ def find_spans(text: str, model: MarkovRatio, min_ratio: float = MIN_RATIO) -> l
             spans += [("hex", *m.span()) for m in HEX.finditer(text, a, b)]
     taken = [(s, e) for _, s, e in spans]
     for a, b in tokens:
-        word = text[a:b]
-        if not word.isdigit() and model.ratio(word) >= min_ratio and not any(s < b and a < e for s, e in taken):
-            spans.append(("markov", a, b))
+        at = a
+        for s, e in [*sorted((s, e) for s, e in taken if s < b and a < e), (b, b)]:
+            if s - at >= MIN_TOKEN:
+                spans += [("markov", at + x, at + y) for x, y in model.spans(text[at:s], min_ratio)]
+            at = max(at, e)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
