@@ -16,8 +16,8 @@ together and reveals those that several documents have; only windows around
 those are named in full (128 bits), and a second shuffle verifies them and finds
 the document in which each occurs first.
 
-Whole texts come first: the name of a text's root, the symbol that all its words
-would become in the end, shows exact copies, which need no further look.
+Whole texts come first: a 128-bit hash (XXH3) of the whole word sequence shows
+exact copies, which need no further look; nothing is recompressed for that.
 
 Before the other shuffles each task looks at its own rows: a symbol that several of
 its documents share needs no answer and sends one row, a window sends only its
