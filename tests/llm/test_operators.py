@@ -348,23 +348,42 @@ def test_small_sets_are_decided_by_their_shingles(spark):
         rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join([*t[:11], "other"]))]  # 7 common of 9
     pairs = spark.createDataFrame([(2 * g, 2 * g + 1) for g in range(120)], "a long, b long")
     df = spark.createDataFrame(rows, "doc long, text string")
-    found = near_duplicates.similarity_of(pairs, near_duplicates.profiles(df, 16)).collect()
-    assert len(found) == 120 and all(abs(x["alike"] - 0.8) < near_duplicates.MARGIN for x in found)
+    found = near_duplicates.similarity_of(pairs, near_duplicates.profiles(df)).collect()
+    assert len(found) == 120 and all(abs(x["alike"] - 0.8) < near_duplicates.BELOW for x in found)
     same = near_duplicates.exactly_alike(pairs, df, 0.8)
     assert sorted(x["a"] for x in same.collect()) == list(range(0, 120, 2))
 
 
-def test_wide_keys_are_shared_as_often():
+@pytest.mark.parametrize("n", [64, 180, 900])
+def test_near_copies_share_a_key_whatever_the_size_of_the_table(n):
+    """Keys and fingerprints know nothing of the table: 0.8 is found as often among a billion texts as here."""
     r = np.random.default_rng(31)
-    few = lambda n: [r.bytes(12) for _ in range(n)]
-    pairs = []
+    few = lambda k: r.integers(0, 1 << 64, k, dtype=np.uint64)
+    sets = []
     for _ in range(400):
-        common = few(160)
-        pairs.append([near_duplicates.counts_of(common + few(20)) for _ in range(2)])  # 160 of 200
-    for bits in (16, 22, 26, 30):
-        chosen = near_duplicates.selections(bits)
-        assert sum(np.intersect1d(*(near_duplicates.keys_of(c, chosen) for c in p)).size > 0 for p in pairs) >= 397, bits
-    assert {near_duplicates.key_bits(1 << k) for k in range(40)} <= set(near_duplicates.TABLES)
+        common = few(n - n // 9)  # 8 of 9 in both: 8 of 10 in all
+        sets += [np.unique(np.concatenate([common, few(n // 9)])) for _ in range(2)]
+    x = near_duplicates.sketches(sets)
+    keys = np.concatenate([near_duplicates.keys_of(x[i : i + 100]) for i in range(0, 800, 100)])
+    assert keys.shape == (800, near_duplicates.TABLES * near_duplicates.PROBES)
+    assert sum(np.intersect1d(keys[i], keys[i + 1]).size > 0 for i in range(0, 800, 2)) >= 397
+    assert np.mean([np.intersect1d(keys[i], keys[i + 3]).size for i in range(0, 796, 2)]) < 0.02  # others hardly meet
+    bits = np.packbits(near_duplicates.rotated(x) > 0, axis=1).view(np.uint64)
+    size = np.array([len(s) for s in sets])
+    alike = near_duplicates.jaccard_estimate(np.bitwise_count(bits[::2] ^ bits[1::2]).sum(1), size[::2], size[1::2])
+    common = np.array([len(np.intersect1d(sets[i], sets[i + 1])) for i in range(0, 800, 2)])
+    off = alike - common / (size[::2] + size[1::2] - common)
+    assert off.max() < near_duplicates.ABOVE + 0.01 and (off > -near_duplicates.BELOW).mean() >= 0.99 and abs(off.mean()) < 0.005
+
+
+def test_sketches_do_not_depend_on_their_neighbours():
+    r = np.random.default_rng(33)
+    sets = [np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 70, 5000, 90_000)]
+    x = near_duplicates.sketches(sets)
+    for i, s in enumerate(sets):
+        one = near_duplicates.sketches([s])
+        assert (near_duplicates.rotated(one)[0] == near_duplicates.rotated(x)[i]).all()
+        assert (near_duplicates.keys_of(one)[0] == near_duplicates.keys_of(x)[i]).all()
 
 
 def test_small_sets_share_a_lowest_hash():
@@ -391,29 +410,65 @@ def test_large_groups_of_a_template(spark):
             copy[60:63] = [word(), word(), word()]
             rows.append((len(rows), " ".join(copy + own)))
     want = brute_groups(rows)
-    listed = near_duplicates.profiles(spark.createDataFrame(rows, "doc long, text string"), 16)
-    sets = listed.selectExpr("doc", "same", "n", "print", "near", "array(1L) as keys")  # one key: the group has all texts
+    listed = near_duplicates.profiles(spark.createDataFrame(rows, "doc long, text string"))
+    sets = listed.selectExpr("doc", "same", "n", "print", "near", "more", "array(1L) as keys")  # one key: the group has all texts
     found = near_duplicates.candidate_pairs(sets).cache()
-    some = spark.createDataFrame([], "v long, component long")
-    apart = near_duplicates.pairs_in_large(found.where("b is null").selectExpr("key", "a as doc"), sets, some)
-    pairs = {(x["a"], x["b"]) for x in found.where("b is not null").select("a", "b").union(apart).collect()}
-    members = {i for i, _ in rows}
+    members = found.where("b is null").selectExpr("key", "a as doc").cache()
+    none = spark.createDataFrame([], "v long, component long")
+    apart = near_duplicates.pairs_in_dense(members, sets, none)
+    pairs = {(x["a"], x["b"]) for x in found.where("b is not null").select("a", "b").union(apart.select("a", "b")).collect()}
+    ids = {i for i, _ in rows}
     text = dict(rows)
-    parts = {i: set(simhash.shingles(text[i], 5)) for i in members}
-    alike = {(a, b) for a in members for b in members if a < b and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])}
+    parts = {i: set(simhash.shingles(text[i], 5)) for i in ids}
+    alike = {(a, b) for a in ids for b in ids if a < b and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])}
     assert want and alike <= pairs
-    tiles, near_duplicates.TILE = near_duplicates.TILE, 64
+    of = spark.createDataFrame([(i, 0) for i in range(0, 200, 2)], "v long, component long")
+    tiles, near_duplicates.TILE = near_duplicates.TILE, 32
     try:
-        found = near_duplicates.candidate_pairs(sets).where("b is null").selectExpr("key", "a as doc").collect()
+        dealt = near_duplicates.in_tiles(members, of).collect()
     finally:
         near_duplicates.TILE = tiles
-    met = collections.defaultdict(set)
-    for x in found:
-        met[x["key"]].add(x["doc"])
-    assert max(map(len, met.values())) <= 128 and all(any({a, b} <= v for v in met.values()) for a in range(len(rows)) for b in range(a))
+    homes, visits = collections.defaultdict(set), collections.defaultdict(set)
+    for x in dealt:
+        (homes if x["home"] else visits)[x["key"]].add(x["doc"])
+    met = {frozenset((a, b)) for k in homes for a in homes[k] for b in visits[k]}
+    one = set(range(0, 200, 2))
+    assert max(len(homes[k]) for k in homes) <= 64 and max(len(visits[k]) for k in homes) <= 64
+    assert all(frozenset((a, b)) in met for a in ids for b in range(a) if not {a, b} <= one)
     assert dict(near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_many_near_copies_in_one_partition(spark):
+    """Of texts copied with changes very often, those which come first in a partition stand for the others; chains off them are still found."""
+    r = random.Random(43)
+    word = lambda: f"w{r.randrange(10**9)}"
+    first = [word() for _ in range(200)]
+    rows = [(i, " ".join([*first[: (k := r.randrange(190))], word(), *first[k + 1 :]])) for i in range(300)]
+    far = first
+    for i in range(300, 312):  # each 0.8 like the one before, the last ones far from the first
+        far = [*far[10:], *(word() for _ in range(10))]
+        rows.append((i, " ".join(far)))
+    rows += [(400 + i, words_like(r, 150)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    listed = near_duplicates.profiles(df.toDF("doc", "text"))
+    sent = near_duplicates.forwarded(listed.select("doc", "near", "more", "keys"), 0.8).cache()
+    assert sent.count() == listed.selectExpr("sum(size(keys))").first()[0]
+    hot = sent.groupBy("key").count().where(f"count >= {near_duplicates.HOT}").select("key")
+    among = sent.join(hot, "key").where("doc < 300")
+    assert among.where("first is null").count() <= 0.05 * among.count() > 0 and sent.where("doc >= 400 and first is not null").count() == 0
+    assert dict(near_duplicates.groups(df).collect()) == brute_groups(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    r = random.Random(44)
+    a, b, c = (words_like(r, 80) for _ in range(3))
+    a, b = sorted([a, b])
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (4, c), (5, None), (6, ""), (7, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(near_duplicates.groups(df).collect()) == {3: 1, 6: 5, 7: 5}
+    assert sorted(x["doc_id"] for x in near_duplicates.drop_near_duplicates(df).collect()) == [1, 1, 2, 4, 4, 5]
+
+
 # ---- 6
 
 
