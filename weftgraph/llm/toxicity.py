@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import documents, in_arrow, per_batch
 
 #: Words of a window, and from one window to the next.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Embeddings: buckets for words and for character n-grams, and numbers in each. States of each direction; attention units.
 WORDS, GRAMS, DIM, STATES, UNITS = 1 << 14, 1 << 15, 8, 8, 8
 #: Bytes of the n-grams, borders of the word included.
@@ -38,6 +38,9 @@ SIZES = (3, 5, 7)
 TOP = 4
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4000
+#: Windows that an epoch of training draws, from all windows of the labelled rows, anew each time: of toxic texts at least
+#: and at most (fewer are repeated), and of clean ones at most, half of them at random and half the worst of each text.
+LEAST_TOXIC, MOST_TOXIC, MOST_CLEAN = 3000, 8000, 16_000
 #: Words whose inputs a worker keeps, and windows scored at once.
 CACHE, BATCH = 120_000, 2048
 #: Words read at once, about.
@@ -298,10 +301,10 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, b
             hard = order[(place < 1) & ~toxic[order]]
         else:
             hard = no[:0]
-        n = max(2 * len(chosen_yes), 1)
-        yes = r.permutation(np.resize(chosen_yes, max(len(chosen_yes), 3000))[:8000])
-        some = r.permutation(np.concatenate([r.choice(no, min(len(no), max(n, 8000))), hard]))[:16_000]
-        mixed = r.permutation(np.concatenate([yes, some]))
+        yes = np.resize(r.permutation(chosen_yes), min(max(len(chosen_yes), LEAST_TOXIC), MOST_TOXIC))
+        hard = r.permutation(hard)[: MOST_CLEAN // 2]
+        some = r.choice(no, min(len(no), max(2 * len(yes), MOST_CLEAN // 2), MOST_CLEAN - len(hard)), replace=False)
+        mixed = r.permutation(np.concatenate([yes, some, hard]))
         for a in range(0, len(mixed), batch):
             step(mixed[a : a + batch])
     features = net.document_features(all_logits(), counts)
