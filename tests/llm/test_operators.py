@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -238,6 +239,51 @@ def test_estimation_finds_the_good_labeller():
     assert weak_supervision.reliabilities([]) == (0.5, [], {})
 
 
+def brute_fault_step(rows, post, alarm):
+    """One round of the estimation, row by row: posteriors of the classes for each row."""
+    n, labellers = len(rows), len(rows[0])
+    mass = [sum(p[c] for p in post) for c in range(labellers + 1)]
+    shares = [(m + 1e-6 * n) / (n * (1 + 1e-6 * (labellers + 1))) for m in mass]
+    table = {}
+    for c in range(labellers + 1):
+        for j in range(labellers):
+            got = {x: sum(p[c] for v, p in zip(rows, post) if v[j] == x) + 1e-6 * n for x in (-1, 0, 1)}
+            share = {x: got[x] / sum(got.values()) for x in got}
+            if c == 0:
+                bad = (sum(p[0] for v, p in zip(rows, post) if v[j] == -1) + alarm * n) / (mass[0] + n)
+                share = {-1: bad} | {x: share[x] * (1 - bad) / (share[0] + share[1]) for x in (0, 1)}
+            table[c, j] = share
+    out = []
+    for v in rows:
+        p = [shares[c] * math.prod(table[c, j][v[j]] for j in range(labellers)) for c in range(labellers + 1)]
+        out.append([x / sum(p) for x in p])
+    return out
+
+
+def test_fault_classes():
+    """Two labellers see one fault, a third another one, a fourth only errs, on one sound row in two thousand."""
+    r, rows, sound = random.Random(9), [], []
+    for _ in range(6000):
+        kind = r.choices(["sound", "noise", "stutter"], [0.85, 0.1, 0.05])[0]
+        see = lambda fault, p, q: -1 if r.random() < (p if kind == fault else q) else r.choice([0, 1, 1, 1])
+        rows.append((see("noise", 0.95, 0.001), see("noise", 0.6, 0.01), see("stutter", 0.9, 0.001), see("none", 0, 0.0005)))
+        sound.append(kind == "sound")
+    counts = sorted(collections.Counter(rows).items())
+    shares, table, post = weak_supervision.fault_classes(counts)
+    assert sum((post[v] > 0.5) == s for v, s in zip(rows, sound)) >= 0.98 * len(rows)
+    assert table[0, :, 0].max() < 0.02 and table[1, 0, 0] > 0.8 and table[3, 2, 0] > 0.8 and 0.8 < shares[0] < 0.9
+    assert post[1, 1, 1, -1] > 0.5 > post[1, 1, -1, 1]  # who hardly ever votes against, and alone, errs
+    assert all(abs(post[v] - p) < 1e-6 for v, p in weak_supervision.fault_classes([(v, 100.0 * n) for v, n in counts])[2].items())
+    assert weak_supervision.fault_classes([])[2] == {}
+    few = rows[:300]
+    want = [[1.0, 0, 0, 0, 0] if -1 not in v else [0, *(float(x == -1) / v.count(-1) for x in v)] for v in few]
+    for _ in range(5):
+        want = brute_fault_step(few, want, 0.0005)
+    got = weak_supervision.fault_classes(sorted(collections.Counter(few).items()), rounds=5)
+    fault = [j + 1 for j in range(4) if got[1][j + 1, j, 0] > 0.5]
+    assert all(abs(got[2][v] - (1 - sum(p[c] for c in fault))) < 1e-9 for v, p in zip(few, want))
+
+
 # ---- 5
 
 
@@ -647,6 +693,11 @@ def test_quality_classifier(spark, odd, nothing):
     df = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
     got = by_id(quality_classifier.classify(df))
     assert all(got[i]["kept"] for i in range(300)) and not any(got[i]["kept"] for i in range(300, 360))
+    counts = quality_classifier.pattern_counts(quality_classifier.labelled(df).select(*quality_classifier.LABELLERS))
+    told = quality_classifier.accuracies(counts)
+    assert told["symbols"][1] > 0.9 and max(x[0] for x in told.values()) < 0.05
+    twice = by_id(quality_classifier.classify(df.union(df)).dropDuplicates())
+    assert all(twice[i]["kept"] == got[i]["kept"] for i in got)  # repeated rows count as often, and fare alike
     out = quality_classifier.classify(odd)
     assert out.count() == odd.count() and quality_classifier.classify(nothing).count() == 0
     assert all(0 <= x["score"] <= 1 for x in out.collect())

@@ -2,16 +2,19 @@
 
 Overlapping heuristic labellers, native expressions, vote good, bad or nothing
 on every document. Their votes are counted by pattern over the whole corpus;
-expectation-maximisation over the counts estimates how accurate each labeller
-is, and gives every pattern a posterior. The posteriors of a bounded sample of
-documents are the labels that train a linear scorer over hashed features (words,
-shapes of words, and a few classes for the document as a whole). The scorer then
+expectation-maximisation over the counts estimates how often each labeller is
+right, for sound documents and for each kind of fault, and gives every pattern a
+posterior. The posteriors of a bounded sample of documents are the labels that
+train a linear scorer over hashed features (words, shapes of words, and a few
+classes for the document as a whole), in a task on an executor. The scorer then
 judges every document by its whole text.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, per_batch
+from weftgraph.llm.common import documents, in_arrow, per_batch
 from weftgraph.llm.quality_rules import BLANKS, SYMBOLS, let, without, word_array
-from weftgraph.llm.weak_supervision import reliabilities
+from weftgraph.llm.weak_supervision import fault_classes
 
 #: Buckets of the linear scorer, documents that train it at most, and words a worker keeps.
 BUCKETS, TRAIN_ROWS, CACHE = 1 << 18, 4000, 300_000
 #: Score from which a document is kept.
 ACCEPT = 0.5
 
-#: Weight of a vote for bad at the start of the estimation: the labellers look for different faults, and one is enough.
-AGAINST = 20.0
-#: They hardly ever vote bad on a good document.
-FALSE_ALARM = 5e-4
+#: Prior of how often a labeller votes bad on a sound document.
+FALSE_ALARM = 0.0005
 
 #: Frequent function words of four languages.
 FUNCTION_WORDS = ("the", "and", "of", "to", "in", "is", "that", "for", "der", "die", "und", "das", "ist", "von", "den", "mit", "le", "la", "les", "de", "des", "et", "est", "que", "el", "los", "en", "y", "las", "por", "un", "a")
@@ -76,10 +77,15 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return measured(rows).select("k", "text", *[v.alias(n) for n, v in votes().items()])
 
 
-def posteriors(votes_of: DataFrame) -> dict[tuple[int, ...], float]:
-    """Probability of good for each pattern of votes, from the counts over all rows (3 to the number of labellers rows at most)."""
-    counts = [(tuple(r[n] for n in LABELLERS), float(r["n"])) for r in votes_of.groupBy(*LABELLERS).agg(F.count("*").alias("n")).collect()]
-    return reliabilities(sorted(counts), against=AGAINST, false_alarm=FALSE_ALARM)[2]
+def pattern_counts(votes_of: DataFrame) -> list[tuple[tuple[int, ...], float]]:
+    """(votes of all labellers, rows) over all rows, at most 3 to the number of labellers of them, in order."""
+    return sorted((tuple(r[n] for n in LABELLERS), float(r["n"])) for r in votes_of.groupBy(*LABELLERS).agg(F.count("*").alias("n")).collect())
+
+
+def accuracies(counts: list[tuple[tuple[int, ...], float]]) -> dict[str, tuple[float, float, float]]:
+    """For each labeller: how often it votes bad on sound documents and on those of its fault, and their share."""
+    shares, table, _ = fault_classes(counts, FALSE_ALARM)
+    return {n: (float(table[0, j, 0]), float(table[j + 1, j, 0]), float(shares[j + 1])) for j, n in enumerate(LABELLERS)} if counts else {}
 
 
 # ---- the scorer
@@ -169,18 +175,34 @@ def train(texts: list[str], goodness: list[float], epochs: int = 12, rate: float
     return Scorer(weights, bias)
 
 
+def fit(rows: DataFrame, post: dict[tuple[int, ...], float]) -> Scorer:
+    """The scorer for labelled ``rows`` with the posteriors of their patterns, trained in one task on an executor: the driver gets the finished weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, goodness = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            goodness += [post[v] for v in zip(*(batch.column(n).to_pylist() for n in LABELLERS))]
+        if texts:
+            yield pa.RecordBatch.from_pydict({"scorer": [pickle.dumps(train(texts, goodness))]})
+
+    found = in_arrow(rows.coalesce(1), run, "scorer binary").collect()
+    return pickle.loads(bytes(found[0]["scorer"])) if found else train([], [])
+
+
 def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, accept: float = ACCEPT) -> DataFrame:
     """(key, score, kept) of every row: the scorer's probability that the whole text is good.
 
-    Null texts are empty, texts without words are judged by that alone. The
+    Null texts are empty, texts without words are judged by that alone; rows that
+    repeat a text get the same score, and each counts in the estimation. The
     corpus gives the labellers' accuracies; the scorer is trained on at most
-    ``rows`` documents, those of least hash of the key.
+    ``rows`` documents, those of least hash of the key. An empty table gives an
+    empty result.
     """
-    post = posteriors(labelled(docs, text, key).select(*LABELLERS))
+    post = fault_classes(pattern_counts(labelled(docs, text, key).select(*LABELLERS)), FALSE_ALARM)[2]
     chosen = docs.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
-    some = labelled(some, "text", "k").orderBy(F.xxhash64("k"), "k", "text").limit(rows).collect()
-    scorer = train([r["text"] for r in some], [post[tuple(r[n] for n in LABELLERS)] for r in some])
+    scorer = fit(labelled(some, "text", "k").orderBy(F.xxhash64("k"), "k", "text").limit(rows), post)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batch: pa.RecordBatch) -> dict:
