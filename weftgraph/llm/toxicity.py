@@ -42,9 +42,9 @@ TRAIN_ROWS = 4000
 #: and at most (fewer are repeated), and of clean ones at most, half of them at random and half the worst of each text.
 LEAST_TOXIC, MOST_TOXIC, MOST_CLEAN = 3000, 8000, 16_000
 #: Words whose inputs a worker keeps, and windows scored at once.
-CACHE, BATCH = 120_000, 2048
+CACHE, BATCH = 120_000, 1024
 #: Words read at once, about.
-BLOCK = 300_000
+BLOCK = 60_000
 
 TRIM = b".,!?;:\"'()[]{}#*$%&|<>-_"
 
