@@ -76,6 +76,8 @@ CUES = {
 #: Characters before a span that context labellers read.
 CONTEXT = 40
 LABELLERS = ("shape", "check", "gazetteer", "context")
+#: Matches of a text that are handled together, so that the work grows with their number and not with its square.
+CHUNK = 128
 
 
 def digits(s: Column) -> Column:
@@ -108,15 +110,23 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+SPANS = "array<struct<kind: string, start: int, end: int, value: string, before: string>>"
+
+
+def chunks(items: Column) -> Column:
+    """An array in parts of CHUNK items, in order; one empty part of an empty array."""
+    last = F.greatest(F.ceil(F.size(items) / CHUNK).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
 def matches(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, value, before>> of all matches in ``text``, leftmost and not overlapping."""
-    empty = F.array().cast("array<struct<kind: string, start: int, end: int, value: string, before: string>>")
+    empty = F.array().cast(SPANS)
     pattern = F.lit(PATTERNS[kind])
 
     def placed(x: Column) -> Column:
         # the text between matches, and the matches: their lengths give the places
         gap = lambda i: F.get(x["gaps"], i)
-        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
         def add(s: Column, v: Column) -> Column:
             a = s["at"] + F.length(gap(v["i"]))
@@ -124,8 +134,13 @@ def matches(text: Column, kind: str) -> Column:
             before = F.right(gap(v["i"]), F.lit(CONTEXT))
             return F.struct(e.alias("at"), F.concat(s["found"], F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), e.alias("end"), v["m"].alias("value"), before.alias("before")))).alias("found"))
 
+        def add_chunk(s: Column, part: Column) -> Column:
+            own = F.aggregate(part, F.struct(s["at"].alias("at"), empty.alias("found")), add)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(s["found"], F.array(o["found"])).alias("found")))
+
         numbered = F.transform(x["hits"], lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-        return F.aggregate(numbered, start, add, lambda s: s["found"])
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found"))
+        return let(numbered, lambda n: F.aggregate(chunks(n), start, add_chunk, lambda s: F.flatten(s["found"])))
 
     both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, PATTERNS[kind], -1).alias("gaps"))
     return F.when(HINTS[kind](text), let(both, placed)).otherwise(empty)
@@ -141,7 +156,13 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     base = rows.select(key, "text", F.concat(*map(sound, KINDS)).alias("base"))
     more = F.concat(*[matches(t, k) for k in MORE])
-    free = let(F.col("base"), lambda b: F.filter(more, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
+    meets = lambda x, s: F.coalesce((x["start"] < s["end"]) & (s["start"] < x["end"]), F.lit(False))
+
+    def bounded(b: Column) -> Column:
+        return F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans"))
+
+    parts = F.transform(chunks(F.col("base")), bounded)
+    free = let(parts, lambda p: F.filter(more, lambda s: ~F.exists(p, lambda b: meets(b, s) & F.exists(b["spans"], lambda x: meets(x, s)))))
     return base.select(key, "base", free.alias("more"))
 
 
@@ -227,7 +248,9 @@ def probability(weights: dict[str, float], f: Column) -> Column:
 def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", accept: float = ACCEPT, weights: dict[str, float] | None = None) -> DataFrame:
     """(key, base, spans) of every row: the base spans, and all spans, each by kind as listed in ALL, then start.
 
-    A null text is empty. ``weights``: a classifier trained elsewhere; by default
+    A null text is empty, and rows that repeat a text get the same spans; an empty
+    table gives an empty result. Whole texts are read, the work grows with a text
+    and its matches. ``weights``: a classifier trained elsewhere; by default
     it is trained on the candidates of ``docs`` themselves, all of them.
     """
     found = candidates(docs, text, key)
