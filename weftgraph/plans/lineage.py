@@ -7,9 +7,7 @@ folder of our own used.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's own setting by which the shuffle files of a query go as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage as ``checkpoint()`` does, but keeps the columns compressed
-    and prunable. The rows come back in no particular order.
+    and prunable. The rows come back in no particular order. The shuffle files of
+    the write go when it has ended, nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,11 +61,3 @@ def discard(df: DataFrame) -> None:
         if "/table-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more, between the phases of a long operator."""
-    for _ in range(2):  # the second round finds what the first has let go of
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
