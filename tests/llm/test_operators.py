@@ -616,6 +616,22 @@ def brute_dedup(rows, n=13):
     return out
 
 
+def test_substring_dedup_with_a_passage_over_many_batches(spark):
+    """A passage that most texts have: its groups go on over many batches and are not held."""
+    r = random.Random(52)
+    passage = words_like(r, 20)
+    rows = [(i, " ".join([words_like(r, r.randint(3, 9)), passage, words_like(r, r.randint(3, 9))]) if i % 4 else words_like(r, 30)) for i in range(3000)]
+    r.shuffle(rows)
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {x["doc_id"]: (x["n_removed"], x["kept"]) for x in recompression.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    want = brute_dedup(rows)
+    assert got == {i: x[1:] for i, x in want.items()} and sum(x[1] >= 20 for x in want.values()) > 2000
+
+
 def test_substring_dedup(spark, odd, nothing):
     r = random.Random(4)
     ps = [[r.choice("abcde") for _ in range(r.randint(5, 60))] for _ in range(20)]

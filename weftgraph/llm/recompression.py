@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents, in_arrow, per_batch
-from weftgraph.plans.lineage import discard, materialize, release
+from weftgraph.plans.lineage import discard, materialize
 
 #: Words of a window, and rounds of pairs. Three rounds leave hardly a window without a symbol of the last.
 WINDOW, ROUNDS = 13, 3
@@ -203,22 +203,28 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _streamed(grouped: DataFrame, keys: int, answer, schema: str) -> DataFrame:
-    """``answer`` of the columns (arrays) of whole groups of rows that agree in the first ``keys`` columns; rows come sorted."""
+def _streamed(grouped: DataFrame, keys: int, answer, settled, schema: str) -> DataFrame:
+    """``answer`` of the columns (arrays) of rows that come sorted by the first ``keys`` columns, groups being rows that agree in these.
+
+    The last group of a batch may go on in the next one. ``settled`` gets its
+    columns, and says whether they can be answered already, and what of them has to
+    be seen again with the rest of the group; so a group is never held whole.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        held = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(cols[0]):
                 continue
-            if tail is not None:
-                cols = [np.concatenate(x) for x in zip(tail, cols)]
-            stop = np.flatnonzero(_changes(*cols[:keys]))[-1]
-            tail = [c[stop:] for c in cols]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            last = np.flatnonzero(_changes(*cols[:keys]))[-1]
+            done, held = settled(*[c[last:] for c in cols])
+            stop = len(cols[0]) if done else last
             if stop:
                 yield pa.RecordBatch.from_pydict(answer(*[c[:stop] for c in cols]))
-        if tail is not None:
-            yield pa.RecordBatch.from_pydict(answer(*tail))
+        if held is not None:
+            yield pa.RecordBatch.from_pydict(answer(*held))
 
     return in_arrow(grouped, run, schema)
 
@@ -234,9 +240,11 @@ def later_copies(marked: DataFrame, window: int = WINDOW) -> DataFrame:
         return {"doc": batch.column("doc"), "mark": batch.column("mark"), "root": name, "long": long}
 
     named = materialize(per_batch(marked, roots, "doc bigint, mark int, root binary, long boolean").where("long").drop("long"))
-    first = named.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = materialize(named.join(first, "root").where("doc > least").select("doc", "mark").distinct())
+    first = materialize(named.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    few = first.count() <= MOST_BROADCAST  # else a join that AQE can split where one text has most of the copies
+    found = materialize(named.join(F.broadcast(first) if few else first, "root").where("doc > least").select("doc", "mark").distinct())
     discard(named)
+    discard(first)
     return found
 
 
@@ -281,8 +289,15 @@ def revealed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Dat
             d, p = d[several], p[several]
         return {"doc": np.concatenate([doc[~wanted], d]), "place": np.concatenate([-place[~wanted], p]).astype(np.int32)}
 
+    def settled(route, doc, place):
+        mine = doc[place >= 0]
+        if not len(mine) or mine.min() == mine.max():
+            return False, [route, doc, place]  # of one document: a batch sends no more than FREQUENT of these
+        ends = np.array([mine.min(), mine.max()])
+        return True, [np.repeat(route[:1], 2), ends, np.zeros(2, place.dtype)]
+
     rows = per_batch(docs, symbols, "route bigint, doc bigint, place int")
-    return _streamed(rows.repartition("route").sortWithinPartitions("route"), 1, shared, "doc bigint, place int")
+    return _streamed(rows.repartition("route").sortWithinPartitions("route"), 1, shared, settled, "doc bigint, place int")
 
 
 def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -333,8 +348,12 @@ def repeated(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFra
             later = np.zeros(0, bool)
         return {"doc": np.concatenate([doc[done], rd[later]]), "mark": np.concatenate([mark[done], mark[~done][later]]), "at": np.concatenate([-1 - at[done], at[~done][later]]).astype(np.int32)}
 
+    def settled(a, b, doc, mark, at):
+        first = np.flatnonzero(at >= 0)[:1]  # the group's smallest document comes first; seen again, it is not later than itself
+        return True, [c[first] for c in (a, b, doc, mark, at)] if len(first) else None
+
     rows = per_batch(docs.join(places, "doc").select("doc", "mark", "text", "places"), windows, "a bigint, b int, doc bigint, mark int, at int")
-    return _streamed(rows.repartition("a", "b").sortWithinPartitions("a", "b"), 2, verified, "doc bigint, mark int, at int")
+    return _streamed(rows.repartition("a", "b").sortWithinPartitions("a", "b", "doc"), 2, verified, settled, "doc bigint, mark int, at int")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,10 +371,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     few = copies.count() <= MOST_BROADCAST
     firsts = marked.join(F.broadcast(copies) if few else copies, ["doc", "mark"], "left_anti")
     found = materialize(revealed(firsts.select("doc", "text"), window, rounds))
-    release(docs.sparkSession)
     gone = materialize(repeated(firsts, found, window))
     discard(found)
-    release(docs.sparkSession)
     gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("gone")).unionByName(copies.withColumn("gone", F.array(F.lit(-1))))
 
     def kept(batch: pa.RecordBatch) -> dict:
