@@ -1,9 +1,13 @@
 """The driver's contract, for whatever queries there are."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weftgraph.plans.lineage import CLEAN_UP, discard, materialize, materialize_all
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,6 +18,21 @@ def test_names():
     assert q and set(entry.oracle_sql()) <= set(q)
 
 
+def test_tables_in_the_shared_folder(spark, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    other = str(tmp_path / f"table-{'0' * 32}")
+    spark.range(5).write.parquet(other)
+    before = set(folder.iterdir())
+    made = materialize(spark.range(10).groupBy("id").count())
+    both = made.unionByName(spark.read.parquet(other).withColumn("count", F.lit(1).cast("bigint")))
+    assert both.count() == 15 and len(set(folder.iterdir()) - before) == 1
+    discard(both)
+    assert set(folder.iterdir()) == before and spark.read.parquet(other).count() == 5  # what others wrote stays
+    assert spark.conf.get(CLEAN_UP) == "false"
+    parts = materialize_all(spark.range(n) for n in (3, 0, 4))
+    assert sorted(r[0] for r in parts.collect()) == [0, 0, 1, 1, 2, 2, 3]
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 

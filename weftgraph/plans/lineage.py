@@ -7,8 +7,10 @@ folder of our own used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def _append(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEAN_UP)
+        else:
+            conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -38,26 +57,25 @@ def materialize(df: DataFrame) -> DataFrame:
     and prunable. The rows come back in no particular order. The shuffle files of
     the write go when it has ended, nothing reads them again.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize_all(iter([df]))
+
+
+def materialize_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """One table of the rows of all ``parts``, at least one and of one schema, which are written one after the other as they come."""
+    path, last = None, None
+    for last in parts:
+        path = path or _path(last.sparkSession)
+        _append(last, path)
+    return last.sparkSession.read.schema(last.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files that ``materialize`` wrote for ``df``, once nothing reads them any more."""
+    """Delete all tables in the shared folder that ``df`` reads, once nothing reads them any more. Other files stay."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/table-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = path(shared_dir(spark)).getFileSystem(conf)
+    ours = files.makeQualified(path(shared_dir(spark))).toString().rstrip("/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        found = files.makeQualified(path(folder)) if re.search(r"/table-[0-9a-f]{32}$", folder) else None
+        if found is not None and found.getParent().toString() == ours:
+            files.delete(found, True)
