@@ -18,7 +18,7 @@ from weftgraph.llm import mixing, near_duplicates, pii, quality_classifier, qual
 from weftgraph.llm.sentencepiece_codec import Codec, public_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, n_copies string, k string, k0 string, doc string, mark string, gone string, keys string, fp string, ids string, spans string, score string, kept string, same string, base string, n int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, n_copies string, k string, k0 string, doc string, mark string, gone string, keys string, fp string, ids string, spans string, score string, kept string, same string, base string, mixed_source string, mixed_rate string, n int"
 
 
 def words_like(r, n, size=300):
@@ -33,7 +33,7 @@ def odd_rows():
     texts = [None, "", "   \n\t ", "word", base, base, base.replace("an", "on", 1), passage + " x " + words_like(r, 60), words_like(r, 60) + " " + passage, "a" * 100_000, "ab " * 20_000,
              "token = \"0123456789abcdef0123456789abcdef01234567\" mail a.b@c.example.com or 10.0.0.1, 4111 1111 1111 1111, +1 (212) 555-0100", "Line\nLine\nLine\n" * 30, "𝔸é中 \x00 \x0b\x0c \x1f a b c", "▁ ▁▁ <s> <0x0A>", passage.upper()]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, base), (None, base), (None, None)]
-    return [(i, t, "en", None if i == 3 else "s" if i is None or i % 2 else "t", None, *["x"] * 15, 1) for i, t in rows]
+    return [(i, t, "en", None if i == 3 else "s" if i is None or i % 2 else "t", None, *["x"] * 17, 1) for i, t in rows]
 
 
 @pytest.fixture(scope="module")
@@ -588,6 +588,8 @@ def test_mixing(spark, odd, nothing):
     assert all(sorted(c for c, _ in v) == [*range(1, v[0][1] + 1)] for v in by.values())
     assert mixing.mix(df, {}).count() == 0 and mixing.mix(nothing).count() == 0
     assert "copy" in mixing.mix(odd).columns
+    out = mixing.mix(odd, copy="time", n_copies="times").collect()
+    assert out and all(r[c] == "x" for r in out for c in ("copy", "n_copies", "mixed_source", "mixed_rate", "score")) and all(1 <= r["time"] <= r["times"] for r in out)
 
 
 def test_poisson_inversion(spark):

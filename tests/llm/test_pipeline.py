@@ -1,8 +1,13 @@
 """The stages one after the other on the small tables."""
 
+from pathlib import Path
+
+import public_tokenizers
+import sentencepiece
+
 import corpus_pipeline
-from tests.llm.test_operators import brute_groups
-from weftgraph.llm import secrets, toxicity
+from tests.llm.test_operators import brute_groups, nothing, odd, odd_rows  # noqa: F401  fixtures
+from weftgraph.llm import secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +32,41 @@ def test_stages(spark):
     before, after = seen["secrets"]
     assert before.count() == after.count()
     assert not any(secrets.find_spans(r["text"], secrets.default_model()) for r in after.collect())
+    before, after = seen["mixing"]
+    share = lambda df: {r["source"]: r["count"] for r in df.groupBy("source").count().collect()}
+    n, got = before.count(), share(after)
+    assert set(got) == set(share(before)) and all(abs(k - n / len(got)) < 6 * (n / len(got)) ** 0.5 for k in got.values())
+    assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
     before, after = seen["sentencepiece"]
     assert before.count() == after.count()
-    assert corpus_pipeline.ORACLE_SQL is None and toxicity.TRAIN_ROWS > 0
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in before.collect()}
+    for r in after.collect():
+        raw = texts[r["doc_id"]].encode()
+        assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["begins"]) == len(r["ends"])
+        assert all(0 <= a <= b <= len(raw) for a, b in zip(r["begins"], r["ends"])) and r["begins"] == sorted(r["begins"])
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert len(set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) - before) == 1  # what the last stage reads
+
+
+def test_stages_on_odd_tables(odd, nothing, spark):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, and columns named like those that stages use."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        empty = stage(spark, nothing, SF)
+        assert empty.count() == 0 and empty.columns == out.columns
+        rows = out.collect()
+        if name == "sentencepiece":
+            assert len(rows) == odd.count()
+            continue
+        assert out.columns == odd.columns and rows
+        assert all(r[c] == "x" for r in rows for c in ("score", "copy", "n_copies", "mixed_source", "mixed_rate", "same", "keys", "spans")), name
+        if name == "toxicity":
+            assert len(rows) == odd.count()  # none of these is toxic by labels of other documents
+        if name == "secrets":
+            assert len(rows) == odd.count() and sum("0123456789abcdef0123456789abcdef" in (r["text"] or "") for r in rows) == 0

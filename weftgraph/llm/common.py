@@ -23,6 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text, natively. Null and blank texts have none."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents
+from weftgraph.llm.common import documents, free_name
 
 #: Hexadecimal digits of an MD5 that make a uniform number: 52 bits are exact in a double.
 DIGITS = 13
@@ -67,37 +67,40 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: int |
     return weighed.join(F.broadcast(total), F.lit(True)).select("source", "n_docs", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 7, source: str = "source", key: str = "doc_id", max_broadcast_rows: int = 100_000) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count, in a global random order, plus ``copy`` and ``n_copies``.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 7, source: str = "source", key: str = "doc_id", max_broadcast_rows: int = 100_000, copy: str = "copy", n_copies: str = "n_copies") -> DataFrame:
+    """``docs`` with each row repeated by its Poisson count, in a global random order, plus columns ``copy`` and ``n_copies``.
 
     ``copy`` counts a document's appearances from 1. Rows that share a key get
     the same count; a null key is the key ''. A rate of 0 drops the source; an
-    empty input gives an empty result. Columns of ``docs`` named copy or
-    n_copies are replaced. The table of rates has one row per source: it is
+    empty input gives an empty result. Columns of ``docs`` that have
+    the names of these two are replaced, all others stay, whatever their names.
+    Repeated rows are repeated alike; null and very long texts are as any other. The table of rates has one row per source: it is
     broadcast only if it has at most ``max_broadcast_rows`` rows, and joined by a
     shuffle, with hot sources split by AQE, beyond that.
     """
-    mixed, order = replicas(docs, weights, size, seed, source, key, max_broadcast_rows)
+    mixed, order = replicas(docs, weights, size, seed, source, key, max_broadcast_rows, copy, n_copies)
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return mixed.repartition(width, order).sortWithinPartitions(order)
 
 
-def replicas(docs: DataFrame, weights: dict[str, float] | None, size: int | None, seed: int, source: str, key: str, max_broadcast_rows: int) -> tuple[DataFrame, Column]:
+def replicas(docs: DataFrame, weights: dict[str, float] | None, size: int | None, seed: int, source: str, key: str, max_broadcast_rows: int, copy: str, n_copies: str) -> tuple[DataFrame, Column]:
     """The repeated rows before the shuffle, and the column that orders them."""
-    kept = [c for c in docs.columns if c not in ("copy", "n_copies")]
-    by = rates(docs, weights, size, source).select(F.coalesce("source", F.lit("")).alias("__source"), F.col("rate").alias("__rate"))
-    by = by.groupBy("__source").agg(F.max("__rate").alias("__rate"))
+    kept = [c for c in docs.columns if c not in (copy, n_copies)]
+    name_of, rate_of = (free_name([*kept, copy, n_copies], x) for x in ("mixed_source", "mixed_rate"))
+    by = rates(docs, weights, size, source).groupBy(F.coalesce("source", F.lit("")).alias(name_of)).agg(F.max("rate").alias(rate_of))
     few = by.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    body = docs.select(*kept).withColumn("__source", F.coalesce(F.col(source), F.lit("")))
-    body = body.join(F.broadcast(by) if few else by, "__source")
+    body = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(source), F.lit("")).alias(name_of))
+    body = body.join(F.broadcast(by) if few else by, name_of)
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    parts = F.ceil(F.col("__rate") / PART).cast("int")
-    part = F.col("__rate") / F.greatest(parts, F.lit(1))
+    rate = F.col(rate_of)
+    parts = F.ceil(rate / PART).cast("int")
+    part = rate / F.greatest(parts, F.lit(1))
     one = lambda i: poisson(part, uniform(F.lit(str(seed)), name, i.cast("string")))
-    count = F.when(F.col("__rate") <= 0, F.lit(0)).when(parts == 1, one(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0), lambda a, i: a + one(i)))
-    body = body.withColumn("n_copies", count).where("n_copies > 0")
-    body = body.select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    return body.select(*kept, "copy", "n_copies"), F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col("copy").cast("string")).cast("binary"))
+    count = F.when(rate <= 0, F.lit(0)).when(parts == 1, one(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0), lambda a, i: a + one(i)))
+    kept_ = [F.col(f"`{c}`") for c in kept]
+    body = body.withColumn(n_copies, count).where(F.col(n_copies) > 0)
+    body = body.select(*kept_, n_copies, F.explode(F.sequence(F.lit(1), F.col(n_copies))).alias(copy))
+    return body.select(*kept_, copy, n_copies), F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col(copy).cast("string")).cast("binary"))
 
 
 #: Expected rows of the query for equal weights: the counts again, from tables of cumulative probabilities.

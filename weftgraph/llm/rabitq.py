@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.llm.common import in_arrow, per_batch
-from weftgraph.plans.lineage import materialize
+from weftgraph.plans.lineage import discard, materialize, materialize_all
 
 #: Error bound in standard deviations (the paper's value).
 EPSILON = 1.9
@@ -112,8 +113,8 @@ def build_index(rows: DataFrame, dim: int, k: int, seed: int = 5) -> DataFrame:
     return per_batch(one.select(F.col("ids")[0].alias("rep"), "ids", "v"), run, "rep bigint, ids array<bigint>, v array<double>, code binary, scalar double")
 
 
-def _search(index: DataFrame, queries: np.ndarray, reps: np.ndarray, floor: np.ndarray, dim: int, k: int, seed: int) -> DataFrame:
-    """The k best distinct vectors in each task for each query of one block: (query_rep, score, rep, ids)."""
+def _search(index: DataFrame, queries: np.ndarray, reps: np.ndarray, floor: np.ndarray, dim: int, k: int, seed: int) -> tuple[DataFrame, Broadcast]:
+    """The k best distinct vectors in each task for each query of one block: (query_rep, score, rep, ids); and what was sent to the tasks."""
     turn = rotation(dim, seed)
     sent = index.sparkSession.sparkContext.broadcast((queries, reps, floor))
 
@@ -143,7 +144,7 @@ def _search(index: DataFrame, queries: np.ndarray, reps: np.ndarray, floor: np.n
         if len(best.q):
             yield pa.RecordBatch.from_arrays([pa.array(q_reps[best.q]), pa.array(best.score), pa.array(best.id), pa.array([kept[i] for i in best.row.tolist()], pa.list_(pa.int64()))], names=["query_rep", "score", "rep", "ids"])
 
-    return in_arrow(index, run, "query_rep bigint, score double, rep bigint, ids array<bigint>")
+    return in_arrow(index, run, "query_rep bigint, score double, rep bigint, ids array<bigint>"), sent
 
 
 def _matrix(rows: list, dim: int) -> np.ndarray:
@@ -173,30 +174,40 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding
     distinct = by_vector.select("query_rep", "v").distinct()
     n = distinct.count()
     if not n:
+        discard(index)
+        discard(by_vector)
         return spark.createDataFrame([], schema)
     seeds = index.orderBy(F.xxhash64("rep"), "rep").limit(seed_rows).select("rep", "ids", "v").collect()
     sample = _matrix(seeds, dim)
     unit = sample / np.sqrt((sample * sample).sum(1))[:, None]
-    blocks, found = -(-n // query_block), None
-    # blocks are dealt by hash: a third more room keeps each below twice the limit
-    for i in range(blocks):
-        some = distinct.where(F.pmod(F.xxhash64("query_rep", F.lit(1)), F.lit(blocks)) == i).collect()
-        q = _matrix(some, dim)
-        close = (q / np.sqrt((q * q).sum(1))[:, None]) @ unit.T
-        near = np.argsort(-close, axis=1, kind="stable")[:, : k + 1]
-        floor = close[np.arange(len(q)), near[:, -1]] - 1e-9 if near.shape[1] > k else np.full(len(q), -2.0)
-        first = [(r["query_rep"], float(s), seeds[j]["rep"], seeds[j]["ids"]) for r, v, js in zip(some, q, near) for j, s in zip(js, cosines(np.broadcast_to(v, (len(js), dim)), sample[js]))]
-        out = _search(index, q, np.array([r["query_rep"] for r in some], np.int64), floor, dim, k + 1, seed)
-        out = out.unionByName(spark.createDataFrame(first, out.schema)).dropDuplicates(["query_rep", "rep"])
-        out = materialize(out) if blocks > 1 else out
-        found = out if found is None else found.unionByName(out)
+    blocks = -(-n // query_block)
+
+    def answered() -> Iterator[DataFrame]:
+        # blocks are dealt by hash: a third more room keeps each below twice the limit
+        for i in range(blocks):
+            some = distinct.where(F.pmod(F.xxhash64("query_rep", F.lit(1)), F.lit(blocks)) == i).collect()
+            if not some:
+                continue
+            q = _matrix(some, dim)
+            close = (q / np.sqrt((q * q).sum(1))[:, None]) @ unit.T
+            near = np.argsort(-close, axis=1, kind="stable")[:, : k + 1]
+            floor = close[np.arange(len(q)), near[:, -1]] - 1e-9 if near.shape[1] > k else np.full(len(q), -2.0)
+            first = [(r["query_rep"], float(s), seeds[j]["rep"], seeds[j]["ids"]) for r, v, js in zip(some, q, near) for j, s in zip(js, cosines(np.broadcast_to(v, (len(js), dim)), sample[js]))]
+            out, sent = _search(index, q, np.array([r["query_rep"] for r in some], np.int64), floor, dim, k + 1, seed)
+            yield out.unionByName(spark.createDataFrame(first, out.schema)).dropDuplicates(["query_rep", "rep"])
+            sent.destroy()
+
+    found = materialize_all(answered())
     place = F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))
     top = found.withColumn("place", place).where(F.col("place") <= k + 1)
     each = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))))
     answers = top.groupBy("query_rep").agg(F.array_sort(each).alias("near"))
     mine = by_vector.select("query_id", "query_rep").join(answers, "query_rep")
     mine = mine.select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("at", "x"))
-    return mine.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    result = materialize(mine.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score")))
+    for done in (index, by_vector, found):
+        discard(done)
+    return result
 
 
 def op2_rabitq_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

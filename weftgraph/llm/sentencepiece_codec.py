@@ -501,10 +501,11 @@ def public_model(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def with_digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, and how many bytes of the text the spans cover."""
+def with_digests(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to ``keep``, n_tokens and the digests of ids and decoded text, and how many bytes of the text the spans cover."""
     return df.select(
         "doc_id",
+        *keep,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

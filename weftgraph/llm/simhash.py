@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents, in_arrow, per_batch, texts
 from weftgraph.operators.components import connected_components
-from weftgraph.plans.lineage import materialize
+from weftgraph.plans.lineage import discard, materialize
 
 #: Members of a node above which it is refined.
 REFINE = 2048
@@ -234,16 +234,19 @@ def components(fps: DataFrame, limit: int = 2, key: str = "doc_id", refine: int
     Copies meet only in sums (the least key of each fingerprint), combined
     before the shuffle; links are between distinct fingerprints.
     """
-    least = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    least = materialize(least)
+    least = materialize(fps.groupBy("fp").agg(F.min(key).alias("least")))
     groups = connected_components(links(least.select("fp"), limit, refine))
-    groups = groups.withColumnRenamed("v", "fp").withColumnRenamed("component", "root")
-    of = least.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = least.join(groups.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(of.select("fp", "root").join(smallest, "root").drop("root"), "fp")
+    found = materialize(fps.join(of.select("fp", "root").join(smallest, "root").drop("root"), "fp"))
+    discard(least)
+    discard(groups)
+    return found
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint of three-word shingles and the component of fingerprints within two bits."""
     fps = materialize(fingerprints(documents(spark, sf_dir)))
-    return components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(fps)
+    discard(fps)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
