@@ -2,12 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import build, graph
 from weftgraph.operators.components import connected_components
+from weftgraph.queries import QUERIES
 from weftgraph.streaming.edges import windowed_activity
 
 TWO_TRIANGLES = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
@@ -113,6 +115,65 @@ def test_knn_with_ties_and_odd_vectors(spark):
     assert rows(build.cosine_pairs(df, "id", "v", 0.9)) == [(0, 1, 1.0), (0, 3, 1.0), (1, 3, 1.0)]
 
 
+def test_odd_vectors_take_no_part(spark):
+    odd = [(6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 0.0]), (9, [1.0]), (10, [1.0, 0.0, 0.0]), (11, []), (None, [1.0, 0.0]), (12, [None, None])]
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), *odd], "id long, v array<double>")
+    assert [x[:2] for x in rows(build.knn(df, "id", "v", 1))] == [(0, 1), (1, 0), (2, 0)]
+    assert rows(build.cosine_pairs(df, "id", "v", 0.9)) == [(0, 1, 1.0)]
+    nothing = df.where("id > 99")
+    assert rows(build.knn(nothing, "id", "v", 1)) == rows(build.cosine_pairs(nothing, "id", "v", 0.9)) == []
+
+
+def cliques(n, size):
+    """``n`` cliques in a ring, one edge from each to the next."""
+    inside = [(c * size + i, c * size + j) for c in range(n) for i in range(size) for j in range(i)]
+    return inside + [(c * size, (c + 1) % n * size + 1) for c in range(n)]
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_louvain_finds_planted_cliques(spark, flip):
+    last = 6 * 5 - 1
+    pairs = [(last - a, last - b) if flip else (a, b) for a, b in cliques(6, 5)]
+    near = graph.symmetrize(edges(spark, pairs))
+    planted = spark.createDataFrame([(v, v // 5) for v in range(30)], "v long, cluster long")
+    found = graph.louvain_level(near, rounds=30)
+    assert graph.modularity(near, found).first()[0] >= 0.9 * graph.modularity(near, planted).first()[0]
+    assert rows(graph.louvain_level(near, rounds=60)) == rows(found)  # it has ended by itself
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Tables of 300 vectors around ten centres."""
+    r = random.Random(3)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(10)]
+    found = [(i, [x + r.gauss(0, 0.08) for x in centres[i % 10]], i % 10) for i in range(300)]
+    folder = str(tmp_path_factory.mktemp("planted"))
+    spark.createDataFrame(found, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return folder, found
+
+
+def test_kmeans_finds_planted_clusters(spark, planted):
+    folder, found = planted
+    truth = spark.createDataFrame([(i, c) for i, _, c in found], "v long, cluster long")
+    assert graph.agreement(truth, QUERIES["kmeans_embeddings"](spark, folder)).first()["purity"] >= 0.9
+
+
+def test_power_iteration_keeps_planted_clusters_whole(spark, planted):
+    folder, found = planted
+    clusters = dict(rows(QUERIES["power_iteration_clustering"](spark, folder)))
+    assert set(clusters) == {i for i, _, _ in found} and len(set(clusters.values())) > 1
+    whole = [max(Counter(clusters[i] for i, _, c in found if c == k).values()) for k in range(10)]
+    assert sum(whole) >= 0.9 * len(found)
+
+
+def test_lsh_join_against_brute_force(spark, planted):
+    folder, found = planted
+    want = {(a, b): math.dist(x, y) for a, x, _ in found for b, y, _ in found if a < b and math.dist(x, y) <= 1.1}
+    got = {(a, b): d for a, b, d in rows(QUERIES["lsh_join"](spark, folder))}
+    assert set(got) <= set(want) and all(got[p] == pytest.approx(want[p], abs=1e-5) for p in got)
+    assert len(got) >= 0.9 * len(want) > 1000
+
+
 def test_copurchase_counts_groups_once(spark):
     items = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (None, 6), (4, None)], "o long, p long")
     assert rows(build.copurchase(items, "o", "p", 2)) == [(5, 6, 2)]

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.functions.vectors import comparable
+
 #: Vectors in a block. A pair of blocks is one unit of work of bounded size.
 BLOCK = 1024
 
@@ -35,17 +37,23 @@ def transitions(events: DataFrame, actor: str, kind: str, order: list[str]) -> D
     return events.select(F.col(kind).alias("src"), following.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
-    rows = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    return rows.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+def _usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """(id, v) of the rows that are compared, and how many there are: ids that aren't null, vectors that have a direction and the most frequent length (the smaller on a tie)."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null").where(comparable(F.col("v")))
+    most = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return (rows.where(F.size("v") == most["d"]), most["n"]) if most else (rows, 0)
+
+
+def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
 
 
 def _scored(df: DataFrame, key: str, vector: str, keep, block: int, digits: int) -> DataFrame:
     """(src, dst, weight) of what ``keep`` picks of the rounded cosines of each pair of blocks, whole blocks against whole blocks."""
-    n = df.count()
+    rows, n = _usable(df, key, vector)
     blocks = max(1, -(-n // block), min(16, -(-n // 128)))
-    packed = _blocks(df, key, vector, blocks)
+    packed = _blocks(rows, blocks)
     left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"), F.col("ids").alias("a"), F.col("vs").alias("va"))
     right = packed.select(F.col("block").alias("with"), F.col("ids").alias("b"), F.col("vs").alias("vb"))
 
@@ -63,7 +71,11 @@ def _scored(df: DataFrame, key: str, vector: str, keep, block: int, digits: int)
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK, digits: int = 6) -> DataFrame:
-    """(src, dst, weight), src < dst: pairs of vectors whose cosine, rounded, is at least ``least``. Zero and null vectors take no part."""
+    """(src, dst, weight), src < dst: pairs of vectors whose cosine, rounded, is at least ``least``.
+
+    Null ids, vectors that are null or zero, hold null or non-finite components or
+    have another length than most take no part. An empty table has no pairs.
+    """
     return _scored(df, key, vector, lambda cs, a, b: np.nonzero((cs >= least) & (a[:, None] < b[None, :])), block, digits)
 
 
@@ -71,7 +83,8 @@ def knn(df: DataFrame, key: str, vector: str, k: int = 8, block: int = BLOCK, di
     """(src, dst, weight): the ``k`` nearest others of every vector by rounded cosine, ties to the smaller key.
 
     Every pair of blocks keeps its own k best, so what is shuffled grows with
-    the blocks and not with the pairs of vectors.
+    the blocks and not with the pairs of vectors. Rows take part as in
+    ``cosine_pairs``.
     """
     def best(cs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cs = np.where(a[:, None] == b[None, :], -9.0, cs)

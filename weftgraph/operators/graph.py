@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph.plans.lineage import discard, materialize
 
+#: Components of centroids up to which they are broadcast (20 bytes each).
+MOST_BROADCAST = 1_000_000
+
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """(src, dst): both directions of every edge once, without self-loops."""
@@ -115,9 +117,14 @@ def coarsen(edges: DataFrame, clusters: DataFrame, weight: Column | None = None)
 
 
 def nearest_centroid(feats: DataFrame, clusters: DataFrame, digits: int = 6) -> DataFrame:
-    """(v, cluster): the cluster whose mean has the largest rounded inner product with the vertex, ties to the smaller."""
-    means = feats.join(clusters.toDF("v", "cluster"), "v").groupBy("cluster", "pos").agg(F.avg("x").alias("mean"))
-    scores = feats.join(means, "pos").groupBy("v", "cluster").agg(F.round(F.sum(F.col("x") * F.col("mean")), digits).alias("score"))
+    """(v, cluster): the cluster whose mean has the largest rounded inner product with the vertex, ties to the smaller.
+
+    Centroids are broadcast up to MOST_BROADCAST components, so the features, which
+    have few positions to be dealt by, stay where they are.
+    """
+    means = materialize(feats.join(clusters.toDF("v", "cluster"), "v").groupBy("cluster", "pos").agg(F.avg("x").alias("mean")))
+    few = means.count() <= MOST_BROADCAST
+    scores = feats.join(F.broadcast(means) if few else means, "pos").groupBy("v", "cluster").agg(F.round(F.sum(F.col("x") * F.col("mean")), digits).alias("score"))
     return scores.groupBy("v").agg(F.max_by("cluster", F.struct("score", -F.col("cluster"))).alias("cluster"))
 
 
@@ -158,12 +165,13 @@ def louvain_level(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(v, cluster): moves of single vertices by modularity, all of a round at once; deterministic.
 
     In a round a vertex may only move to a cluster of smaller name in even
-    rounds and of larger name in odd ones, so that neighbours do not swap.
+    rounds and of larger name in odd ones, so that neighbours do not swap. It
+    ends when two rounds in a row, one of each kind, have no moves.
     """
     edges = materialize(edges.select("src", "dst"))
     d = materialize(degree(edges))
     m = float(edges.count() or 1)
-    labels = d.select("v", F.col("v").alias("cluster"))
+    labels, idle = d.select("v", F.col("v").alias("cluster")), 0
     for i in range(rounds):
         volume = labels.join(d, "v").groupBy("cluster").agg(F.sum("degree").alias("vol"))
         near = edges.join(labels.toDF("dst", "cluster"), "dst").groupBy(F.col("src").alias("v"), "cluster").agg(F.count("*").alias("w"))
@@ -172,13 +180,10 @@ def louvain_level(edges: DataFrame, rounds: int = 10) -> DataFrame:
         gain = near.join(volume, "cluster").join(own, "v").join(stay, ["v", "own"], "left").where(F.col("cluster") < F.col("own") if i % 2 == 0 else F.col("cluster") > F.col("own"))
         better = F.col("w") - F.coalesce("w_own", F.lit(0)) - F.col("degree") * (F.col("vol") - (F.col("vol_own") - F.col("degree"))) / F.lit(m)
         moves = gain.select("v", "cluster", better.alias("gain")).where("gain > 1e-9").groupBy("v").agg(F.max_by("cluster", F.struct("gain", -F.col("cluster"))).alias("to"))
-        labels = materialize(labels.join(moves, "v", "left").select("v", F.coalesce("to", "cluster").alias("cluster")))
-        if i and not moves.limit(1).count():
+        new = materialize(labels.join(moves, "v", "left").select("v", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("moved")))
+        if i:
+            discard(labels)
+        labels, idle = new.select("v", "cluster"), 0 if new.where("moved").limit(1).count() else idle + 1
+        if idle == 2:
             break
     return labels
-
-
-def top_neighbours(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` heaviest edges of every vertex, ties to the smaller end."""
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return edges.withColumn("place", place).where(F.col("place") <= k).drop("place")

@@ -11,6 +11,7 @@ from weftgraph.operators import build, graph
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import materialize
 from weftgraph.sources import table
+from weftgraph.streaming.edges import windowed_activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +76,12 @@ def edges_bipartite(spark, sf_dir):
     return build.bipartite(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), ("o_orderkey", "l_orderkey"), "o_custkey", "l_partkey")
 
 
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS src, event_type AS dst, count(*) AS weight FROM events GROUP BY 1, 2, 3")
+def edges_windowed(spark, sf_dir):
+    found = windowed_activity(table(spark, sf_dir, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "src", "dst", "weight")
+
+
 @query("SELECT src, dst, count(*) AS weight FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY 1, 2")
 def edges_transition(spark, sf_dir):
     return build.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
@@ -210,7 +217,14 @@ def k_hop_neighbourhood(spark, sf_dir):
     return graph.k_hop(near(spark, sf_dir), 2)
 
 
-@query()
+#: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
+CORE = """
+r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
+  AND src IN (SELECT src FROM r GROUP BY src HAVING count(*) >= 2) AND dst IN (SELECT src FROM r GROUP BY src HAVING count(*) >= 2)),
+z AS (SELECT src, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {BOUGHT}, {CORE} SELECT src AS v FROM z WHERE (SELECT min(degree) FROM z) >= 2")
 def core_k(spark, sf_dir):
     return graph.core(graph.symmetrize(bought(spark, sf_dir)), 2)
 
