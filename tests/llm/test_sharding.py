@@ -1,0 +1,153 @@
+"""Best fit decreasing against a plain loop, and what shards promise."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftgraph.llm import sharding
+
+
+def naive(sizes, capacity):
+    left, out = [], []
+    for s in sizes:
+        fits = [(x, i) for i, x in enumerate(left) if x >= s]
+        if fits:
+            i = min(fits)[1]
+        else:
+            i = len(left)
+            left.append(max(capacity, s))
+        left[i] -= s
+        out.append(i)
+    return out
+
+
+def test_tree_in_order():
+    r, tree, held = random.Random(0), sharding.Tree(), []
+    for _ in range(5000):
+        if r.random() < 0.6:
+            key = (r.randrange(100), r.randrange(1000))
+            tree.add(key)
+            held.append(key)
+        else:
+            least = (r.randrange(110), -1)
+            want = min((k for k in held if k >= least), default=None)
+            assert tree.take(least) == want
+            if want:
+                held.remove(want)
+    assert sorted(k for leaf in tree.leaves for k in leaf) == sorted(held) and all(len(leaf) <= tree.LEAF for leaf in tree.leaves)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit(seed):
+    r = random.Random(seed)
+    sizes = sorted((r.choice([r.randint(1, 9), r.randint(1, 200)]) for _ in range(r.randint(0, 150))), reverse=True)
+    for capacity in (50, 120, 1000):
+        want = naive(sizes, capacity)
+        assert sharding.best_fit(sizes, capacity) == want
+        used = len(set(want))
+        assert sharding.best_fit(sizes, capacity, used) == want
+        assert not used or sharding.best_fit(sizes, capacity, used - 1) is None
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_equal_fit(seed):
+    r = random.Random(seed)
+    sizes = sorted((r.randint(1, 100) for _ in range(400)), reverse=True)
+    full = Counter()
+    for s, b in zip(sizes, sharding.equal_fit(sizes, 8)):
+        full[b] += s
+    assert set(full) == set(range(8)) and max(full.values()) - min(full.values()) <= 8
+    giants = Counter()
+    for s, b in zip([10_000, 5_000, *sizes], sharding.equal_fit([10_000, 5_000, *sizes], 8)):
+        giants[b] += s
+    assert giants[0] == 10_000 and giants[1] == 5_000 and max(giants[b] for b in range(2, 8)) - min(giants[b] for b in range(2, 8)) <= 8
+    assert sharding.equal_fit([], 8) == [] and sharding.equal_fit([5], 8) == [0] and sorted(sharding.equal_fit([5, 5], 8)) == [0, 1]
+
+
+def promises(rows, n):
+    """rows: (id, text, shard, slot)."""
+    slots, of = defaultdict(list), {}
+    for _, text, shard, slot in rows:
+        slots[shard].append(slot)
+        assert of.setdefault(text or "", shard) == shard
+    for s in slots.values():
+        assert sorted(s) == list(range(len(s)))
+    assert set(slots) <= set(range(n))
+    return of
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(3)
+    made = [("x" * r.randint(0, 300)) + str(r.randrange(900)) for _ in range(1500)] + ["copy of many"] * 400 + [None, "", "", None, "é𝔸" * 50, "a" * 20_000]
+    return [(i % 1700, t, "s", 1, "w") for i, t in enumerate(made)] + [(None, "x", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(texts, "doc_id long, text string, shard string, cell int, hash_a string").repartition(6)
+
+
+def test_shards_of_equal_bytes(docs, texts):
+    out = sharding.shards(docs, count=8)
+    assert out.columns == ["doc_id", "text", "cell", "hash_a", "shard", "slot"]
+    rows = out.select("doc_id", "text", "shard", "slot").collect()
+    assert Counter((r[0], r[1]) for r in rows) == Counter((t[0], t[1]) for t in texts)
+    of = promises(rows, 8)
+    sizes = Counter()
+    for _, t, *_ in texts:
+        sizes[t or ""] += len((t or "").encode()) + 1
+    full = Counter()
+    for t, n in sizes.items():
+        full[of[t]] += n
+    assert len(full) == 8 and max(full.values()) <= 1.01 * sum(full.values()) / 8
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.shards(docs, count=8).select("doc_id", "text", "shard", "slot").collect())) if None not in [r[0] for r in rows] else True
+
+
+@pytest.mark.parametrize("region", [2, 1000])
+def test_shards_of_fixed_capacity(docs, texts, monkeypatch, region):
+    monkeypatch.setattr(sharding, "REGION", region)
+    capacity = 9_000
+    rows = sharding.shards(docs, capacity=capacity).select("doc_id", "text", "shard", "slot").collect()
+    n = len({r[2] for r in rows})
+    of = promises(rows, n)
+    sizes = Counter()
+    for _, t, *_ in texts:
+        sizes[t or ""] += len((t or "").encode()) + 1
+    full = Counter()
+    for t, s in sizes.items():
+        full[of[t]] += s
+    big = [t for t, s in sizes.items() if s > capacity]
+    assert big and all(full[of[t]] == sizes[t] for t in big)
+    assert all(x <= capacity for b, x in full.items() if b not in {of[t] for t in big})
+    fair = sum(-(-s // capacity) * capacity for t, s in sizes.items() if t in big) and sum(s for t, s in sizes.items() if t not in big) / capacity + len(big)
+    assert n <= fair + 1 if region == 1000 else n <= fair * 1.6 + 2
+
+
+def test_sand_is_dealt_in_parcels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GRAINS", 512)
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = sharding.shards(df, count=8, carry=["doc_id"])
+    by = {r["shard"]: (r["n"], r["b"]) for r in out.join(df, "doc_id").groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 1).alias("b")).collect()}
+    assert len(by) == 8 and sum(n for n, _ in by.values()) == 20_000
+    assert max(b for _, b in by.values()) <= 1.02 * sum(b for _, b in by.values()) / 8
+
+
+def test_digests(docs, spark, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sharding.op12_best_fit_shards(spark, str(tmp_path)).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
+
+
+def test_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert sharding.shards(none, count=8).count() == 0 and sharding.shards(none, capacity=10).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shards(none)
+    with pytest.raises(ValueError):
+        sharding.shards(none, count=3000)
