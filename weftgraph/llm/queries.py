@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pii, quality_classifier, quality_rules, rabitq, recompression, secrets, sentencepiece_codec, simhash, toxicity
+from weftgraph.llm import collocations, mixing, pii, quality_classifier, quality_rules, rabitq, recompression, secrets, sentencepiece_codec, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,15 @@ def queries() -> dict[str, Query]:
         "op8_recompression_dedup": recompression.op8_recompression_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
+        "op12_best_fit_shards": sharding.op12_best_fit_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_cascade": quality_rules.ORACLE, "op7_poisson_mix": mixing.ORACLE, "op8_recompression_dedup": recompression.ORACLE}
+    return {
+        "op6_quality_cascade": quality_rules.ORACLE,
+        "op7_poisson_mix": mixing.ORACLE,
+        "op8_recompression_dedup": recompression.ORACLE,
+        "op11_phrase_collocations": collocations.ORACLE,
+    }
