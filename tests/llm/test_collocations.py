@@ -87,17 +87,20 @@ def test_states_enumerate_every_phrase_once(seed):
     assert len({tuple(x) for x in ends.values()}) == len(longest)
 
 
-def test_shards_of_few_words_count_the_same(short):
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_shards_of_few_words_count_the_same(short, buckets):
     import pyarrow as pa
 
     rows = made_up(7)
     batch = pa.RecordBatch.from_pydict({"lang": ["und" if x is None else x for x, _ in rows], "text": [t or "" for _, t in rows]})
-    got = Counter()
-    for out in collocations._automata(iter([batch.slice(0, 50), batch.slice(50)])):
-        for x in out.to_pylist():
-            for k in range(x["shortest"], x["longest"] + 1):
-                got[x["lang"], " ".join(x["phrase"].split(" ")[len(x["phrase"].split(" ")) - k :]) if k else ""] += x["f"]
-    assert got == counts_by_force(rows)
+    sent = [x for out in collocations._automata(iter([batch.slice(0, 50), batch.slice(50)]), buckets) for x in out.to_pylist()]
+    assert len({x["bucket"] for x in sent}) > buckets / 4
+    schema = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+    sent.sort(key=lambda x: x["bucket"])
+    whole = [pa.RecordBatch.from_pylist(sent[i : i + 10], schema) for i in range(0, len(sent), 10)]
+    got = [x for out in collocations._summed(iter(whole), 1) for x in out.to_pylist()]
+    assert len({(x["lang"], x["phrase"]) for x in got}) == len(got)
+    assert {(x["lang"], x["phrase"]): x["f"] for x in got} == counts_by_force(rows)
 
 
 def test_collocations(spark):

@@ -6,10 +6,11 @@ of phrases that end at the same places; a state knows its longest and shortest
 phrase, its suffix link and how many places it has. The automaton is built from
 the sorted reversed contexts of all places, whose trie is the tree of suffix
 links, in numpy and not word by word; transitions are not kept, since
-enumeration needs only lengths, links and counts. States are sent to the JVM
-once each, unfolded into their phrases there and summed over all shards. A
-phrase that is frequent enough then sends its count along its suffix link and to
-its prefix, and what it explains well enough is subsumed.
+enumeration needs only lengths, links and counts. A shard's phrases are dealt by
+hash to buckets, as many as the input asks for, and sent as one row for a bucket;
+Spark brings the rows of a bucket together, and their counts are summed a bucket
+at a time. A phrase that is frequent enough then sends its count along its suffix
+link and to its prefix, and what it explains well enough is subsumed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ from weftgraph.plans.lineage import materialize
 #: Words of the longest phrase; three word numbers of BITS bits make one sort key.
 DEPTH, BITS = 3, 21
 #: Words of a shard, at most 2^BITS - 1 with the two that are carried over; bytes of a text that are split at once.
-SHARD, BLOCK = 1_500_000, 1 << 22
+SHARD, BLOCK = 1_000_000, 1 << 22
+#: Bytes of all texts to a bucket of phrases, which is what a task holds at once; rows that leave a worker together.
+BUCKET, ROWS = 2_000_000, 256
 #: Groups that a language's phrases are dealt to before the last ranking: no task sees all of them.
 GROUPS = 64
 
@@ -96,23 +100,28 @@ class Numbers(dict):
     """Numbers of a shard's words, from 1, each of one language."""
 
     def __init__(self, shard: Shard, lang: str) -> None:
-        self.shard, self.lang = shard, lang
+        self.shard = shard
+        self.place, self.seed = len(shard.langs), xxhash.xxh64_intdigest(lang)
+        shard.langs.append(lang)
         self[MARK] = 0
 
     def __missing__(self, word: bytes) -> int:
         self.shard.words.append(word)
-        self.shard.langs.append(self.lang)
-        self[word] = number = len(self.shard.words)
+        self.shard.lang_of.append(self.place)
+        self.shard.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
+        self[word] = number = len(self.shard.words) - 1
         return number
 
 
 class Shard:
     """Words as they come, until there are enough for an automaton."""
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.numbers: dict[str, Numbers] = {}
-        self.words: list[bytes] = []
         self.langs: list[str] = []
+        self.words: list[bytes | None] = [None]
+        self.lang_of, self.hashes = [0], [0]
         self.held: list[np.ndarray] = []
         self.size = self.carried = 0
 
@@ -121,27 +130,59 @@ class Shard:
         self.held.append(np.fromiter(map(of.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def rows(self) -> pa.RecordBatch:
-        """A row for each state, and one for the root of each language, whose places are all words."""
+    def next(self, lang: str) -> Shard:
+        """An empty shard that knows the last words of this one, which it does not count again."""
+        ends = np.concatenate(self.held[-DEPTH:])[1 - DEPTH :].tolist()
+        new = Shard(self.buckets)
+        new.add(lang, [self.words[i] or MARK for i in ends])
+        new.carried, new.size = len(ends), 0
+        return new
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word numbers, last word first and 0 beyond the phrase; places; language) of every phrase of every state, and of the root for each language, whose places are all its words."""
         ids = np.concatenate([np.empty(0, np.int32), *self.held])
-        words, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
         back, longest, shortest, places = states(ids, self.carried)
-        named = [words.take(pa.array(np.maximum(b - 1, 0), mask=b == 0)) for b in back[::-1]]
-        phrase = pc.binary_join_element_wise(*named, " ", null_handling="skip")
-        of = langs.take(pa.array(back[0] - 1))
+        each = longest - shortest + 1
+        state = np.repeat(np.arange(len(each)), each)
+        length = np.arange(len(state)) - np.repeat(np.cumsum(each) - each, each) + shortest[state]
+        back = np.where(np.arange(DEPTH)[:, None] < length, back[:, state], 0)
+        lang_of = np.array(self.lang_of)
         counted = ids[self.carried :]
-        root = pc.value_counts(langs.take(pa.array(counted[counted > 0] - 1)))
-        n = len(root)
-        cols = [
-            pa.concat_arrays([of, root.field("values")]), pa.concat_arrays([phrase, pa.array([""] * n, pa.string())]),
-            pa.array(np.r_[shortest, np.zeros(n, np.int64)].astype(np.int32)), pa.array(np.r_[longest, np.zeros(n, np.int64)].astype(np.int32)),
-            pa.concat_arrays([pa.array(places.astype(np.int64)), root.field("counts")]),
-        ]
-        return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "shortest", "longest", "f"])
-
-
-def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = Shard()
+        all_words = np.bincount(lang_of[counted[counted > 0]], minlength=len(self.langs))
+        root = np.flatnonzero(all_words)
+        return np.concatenate([back, np.zeros((DEPTH, len(root)), np.int64)], axis=1), np.r_[places[state], all_words[root]], np.r_[lang_of[back[0]], root]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(bucket, lang, phrases, counts): the phrases of each bucket and language, one to a line, and their counts as 32-bit numbers."""
+        back, places, lang = self.phrases()
+        if not len(places):
+            return
+        hashes = np.array(self.hashes, np.uint64)
+        seeds = np.array([self.numbers[x].seed for x in self.langs], np.uint64)
+        mixed = seeds[lang]
+        for numbers in back[::-1]:
+            mixed = np.where(numbers > 0, ((mixed << np.uint64(23) | mixed >> np.uint64(41)) ^ hashes[numbers]) * np.uint64(0x9E3779B97F4A7C15), mixed)
+        bucket = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)) % np.uint64(self.buckets)
+        group = bucket.astype(np.int64) * len(self.langs) + lang
+        order = np.argsort(group, kind="stable")
+        group, back = group[order], back[:, order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        offsets = np.r_[starts, len(group)].astype(np.int32)
+        words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
+        for at in range(0, len(starts), ROWS):
+            first, last = offsets[at], offsets[min(at + ROWS, len(starts))]
+            cut = offsets[at : at + ROWS + 1] - first
+            named = [words.take(pa.array(numbers[first:last])) for numbers in back[::-1]]
+            named[-1] = named[-1].fill_null(b"")  # the root's phrase is empty
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), pc.binary_join_element_wise(*named, b" ", null_handling="skip")), b"\n")
+            counts = places[order[first:last]].astype("<i4")
+            packed = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 4).astype(np.int32).tobytes()), pa.py_buffer(counts.tobytes())])
+            of = group[starts[at : at + ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(of // len(self.langs)), langs.take(pa.array(of % len(self.langs))), lines, packed], names=["bucket", "lang", "phrases", "counts"])
+
+
+def _automata(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    shard = Shard(buckets)
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text").cast(pa.binary())):
             lang, text = lang.as_py(), text.as_py()
@@ -150,38 +191,56 @@ def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     now, words = words[: SHARD - shard.size], words[SHARD - shard.size :]
                     shard.add(lang, now)
                     if shard.size >= SHARD:
-                        yield from _sliced(shard)
-                        tail = np.concatenate(shard.held[-DEPTH:])[-(DEPTH - 1) :]
-                        ends = [MARK if i == 0 else shard.words[i - 1] for i in tail.tolist()]
-                        shard = Shard()
-                        shard.add(lang, ends)
-                        shard.carried, shard.size = len(ends), 0
+                        yield from shard.rows()
+                        shard = shard.next(lang)
             if text:
                 shard.add(lang, [MARK])
-    if shard.size:
-        yield from _sliced(shard)
+    yield from shard.rows()
+
 
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of what occurs ``least`` times, and of all roots. Rows come bucket by bucket, of which one is held."""
+    held: dict[str, dict[bytes, int]] = {}
+    at = None
 
-def _sliced(shard: Shard, rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    out = shard.rows()
-    for at in range(0, out.num_rows, rows):
-        yield out.slice(at, rows)
+    def found() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            kept = [(p, n) for p, n in counts.items() if n >= least or not p]
+            for i in range(0, len(kept), 1 << 16):
+                phrases, n = zip(*kept[i : i + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "f"])
+
+    for batch in batches:
+        for bucket, lang, phrases, counts in zip(*batch.columns):
+            if bucket.as_py() != at:
+                yield from found()
+                held, at = {}, bucket.as_py()
+            own = held.setdefault(lang.as_py(), {})
+            get = own.get
+            for p, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<i4").tolist()):
+                own[p] = get(p, 0) + n
+    yield from found()
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, phrase, words, f): all phrases of up to three words within pieces, per language, with all their occurrences; the empty phrase, of 0 words, has all words of its language.
+def phrase_counts(docs: DataFrame, least: int = 1, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, phrase, words, f): the phrases of up to three words within pieces that occur ``least`` times in a language, with all their occurrences; the empty phrase, of 0 words, has all words of its language.
 
     Null texts and texts without words have no phrases, a null language is
     ``und``. Every row counts, rows that repeat too; an empty table gives an
     empty one. Texts of any length are split in blocks; shards end where they
     are full, and the next one knows the two words before it. Every shard sends a
-    phrase once, so a frequent one is summed before it is shuffled.
+    phrase once, so a frequent one is summed before it is shuffled; buckets grow
+    in number with the texts and not in size.
     """
-    read = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = in_arrow(read, _automata, "lang string, phrase string, shortest int, longest int, f long")
-    each = found.select("lang", "phrase", F.explode(F.sequence("shortest", "longest")).alias("words"), "f")
-    each = each.select("lang", F.when(F.col("words") == 0, "").otherwise(F.expr("substring_index(phrase, ' ', -words)")).alias("phrase"), "words", "f")
-    return each.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    read = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), body.alias("text"))
+    buckets = 1 + (docs.agg(F.sum(F.octet_length(body).cast("bigint"))).first()[0] or 0) // BUCKET
+    sent = in_arrow(read, lambda batches: _automata(batches, buckets), "bucket long, lang string, phrases binary, counts binary")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = sent.repartition(max(1, min(width, buckets)), "bucket").sortWithinPartitions("bucket")
+    found = in_arrow(met, lambda batches: _summed(batches, least), "lang string, phrase string, f long")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.select("lang", "phrase", words.alias("words"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -197,7 +256,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     ``phrase_counts``; an empty table has no phrases. What is frequent is written
     to the shared folder, ``discard`` the result when it is no longer read.
     """
-    kept = materialize(phrase_counts(docs, text, lang).where((F.col("f") >= least) | (F.col("words") == 0)))
+    kept = materialize(phrase_counts(docs, least, text, lang))
     parts = kept.where("words > 0").select("lang", "phrase", "f")
     many = kept.where((F.col("words") > 1) & (F.col("f") >= least)).select("lang", "phrase", "words", F.col("f").alias("a"))
 
