@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import build, graph
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.sampling import sample_neighbours
 from weftgraph.plans.lineage import materialize
 from weftgraph.sources import table
 from weftgraph.streaming.edges import windowed_activity
@@ -217,6 +218,14 @@ def k_hop_neighbourhood(spark, sf_dir):
     return graph.k_hop(near(spark, sf_dir), 2)
 
 
+@query(f"""WITH {NEAR}, s1 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('3|1|' || src || '|' || dst), dst) AS r FROM e) WHERE r <= 4),
+s2 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('3|2|' || src || '|' || dst), dst) AS r FROM e WHERE src IN (SELECT dst FROM s1)) WHERE r <= 2)
+SELECT 1 AS hop, src, dst FROM s1 UNION ALL SELECT 2, src, dst FROM s2""")
+def neighbour_sample(spark, sf_dir):
+    edges = near(spark, sf_dir)
+    return sample_neighbours(edges, edges.select(F.col("src").alias("v")), [4, 2], seed=3)
+
+
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
 CORE = """
 r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
