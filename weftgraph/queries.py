@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import build, graph
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.partition import balanced_partition
 from weftgraph.operators.sampling import sample_neighbours
 from weftgraph.plans.lineage import materialize
 from weftgraph.sources import table
@@ -226,6 +227,11 @@ def neighbour_sample(spark, sf_dir):
     return sample_neighbours(edges, edges.select(F.col("src").alias("v")), [4, 2], seed=3)
 
 
+@query()
+def balanced_parts(spark, sf_dir):
+    return balanced_partition(near(spark, sf_dir), 10)
+
+
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
 CORE = """
 r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
