@@ -1,0 +1,70 @@
+"""Neighbour descent against all pairs."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from weftgraph.operators import build
+from weftgraph.operators.descent import introduced, neighbour_descent
+from weftgraph.sources import table
+
+
+def lists(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["src"], {})[r["dst"]] = r["weight"]
+    return out
+
+
+def recall(got, want):
+    return sum(len(set(want[v]) & set(got.get(v, {}))) for v in want) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.97), ("sf0.1", 0.93)])
+def test_recall_on_the_tables(spark, sf, least):
+    """500 and 2,000 vectors without any structure, the hardest there are."""
+    df = table(spark, f"/root/testdata/{sf}", "embeddings")
+    got, want = lists(neighbour_descent(df, "vec_id", "embedding")), lists(build.knn(df, "vec_id", "embedding"))
+    assert recall(got, want) >= least and all(len(got[v]) == 8 for v in want)
+    assert all(got[v][u] == w for v in want for u, w in want[v].items() if u in got[v])
+
+
+def test_recall_on_clusters(spark):
+    g = np.random.default_rng(0)
+    centers = g.standard_normal((40, 16))
+    x = centers[g.integers(0, 40, 1500)] + 0.3 * g.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got, want = lists(neighbour_descent(df, "id", "x", k=5)), lists(build.knn(df, "id", "x", k=5))
+    assert recall(got, want) >= 0.97
+
+
+def test_odd_vectors_copies_and_few(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0]), (None, [1.0, 1.0]), (2, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    assert lists(neighbour_descent(df, "id", "x", k=5)) == lists(build.knn(df.distinct(), "id", "x", k=5))
+    assert lists(neighbour_descent(df.limit(0), "id", "x")) == {}
+    assert lists(neighbour_descent(df.where("id = 3"), "id", "x")) == {}
+    g = np.random.default_rng(1)  # a third of all rows are one vector
+    many = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(300 + i, g.standard_normal(3).tolist()) for i in range(600)]
+    df = spark.createDataFrame(many, "id long, x array<double>")
+    got, want = lists(neighbour_descent(df, "id", "x", k=4)), lists(build.knn(df, "id", "x", k=4))
+    assert all(sorted(got[v].values()) == [1.0] * 4 for v in range(300))
+    lost = [sum(want[v].values()) - sum(got[v].values()) for v in range(300, 900)]
+    assert np.mean(np.array(lost) > 1e-9) < 0.1
+
+
+def test_introductions_by_hand():
+    g = np.random.default_rng(2)
+    x = g.standard_normal((30, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [(c, m, bool(g.integers(0, 2)), float(g.choice([-8.0, 0.0, 0.5]))) for c in range(6) for m in sorted(g.choice(30, size=g.integers(1, 9), replace=False).tolist())]
+    schema = pa.schema([("center", pa.int64()), ("member", pa.int64()), ("fresh", pa.bool_()), ("last", pa.float64()), ("x", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_pylist([dict(center=c, member=m, fresh=f, last=w, x=x[m].tolist()) for c, m, f, w in groups[i : i + 5]], schema) for i in range(0, len(groups), 5)]
+    got = sorted((r["v"], r["u"], r["weight"]) for b in introduced(iter(batches), 3, 6) for r in b.to_pylist())
+    want = []
+    for c in range(6):
+        own = [r for r in groups if r[0] == c]
+        for _, m, f, w in own:
+            met = [(-round(float(x[m] @ x[u]), 6), u) for _, u, f2, _ in own if u != m and (f or f2) and round(float(x[m] @ x[u]), 6) > w]
+            want += [(m, u, -s) for s, u in sorted(met)[:3]]
+    assert got == sorted(want)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import build, graph
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.descent import neighbour_descent
+from weftgraph.operators.leiden import leiden
 from weftgraph.operators.partition import balanced_partition
+from weftgraph.operators.pooling import assign, fit_pooling
 from weftgraph.operators.sampling import sample_neighbours
 from weftgraph.plans.lineage import materialize
 from weftgraph.sources import table
@@ -232,6 +235,22 @@ def balanced_parts(spark, sf_dir):
     return balanced_partition(near(spark, sf_dir), 10)
 
 
+@query()
+def leiden_clusters(spark, sf_dir):
+    return leiden(near(spark, sf_dir))
+
+
+@query()
+def knn_descent(spark, sf_dir):
+    return neighbour_descent(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def soft_pooling(spark, sf_dir):
+    feats = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("x"))
+    return assign(feats, fit_pooling(near(spark, sf_dir), feats, 8, steps=20)).select("v", "cluster")
+
+
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
 CORE = """
 r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
