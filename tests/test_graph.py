@@ -179,6 +179,60 @@ def test_copurchase_counts_groups_once(spark):
     assert rows(build.copurchase(items, "o", "p", 2)) == [(5, 6, 2)]
 
 
+def test_a_giant_group_is_spread(spark):
+    """One group has half of all rows: its pairs are made in many places, and no pair is lost or made twice."""
+    r = random.Random(2)
+    items = [(0, m) for m in range(150)] + [(g, r.randrange(150)) for g in range(1, 60) for _ in range(3)]
+    df = spark.createDataFrame(items, "o long, p long")
+    want = Counter()
+    for g in range(60):
+        own = sorted({m for o, m in items if o == g})
+        want.update((a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+    assert rows(build.copurchase(df, "o", "p", 1, heavy=16)) == rows(build.copurchase(df, "o", "p", 1)) == sorted((*p, n) for p, n in want.items())
+
+
+def test_transitions_by_period(spark):
+    r = random.Random(5)
+    ev = [(r.choice([1, 1, 1, 2, 3, None]), t, r.choice(["a", "b", "c", None])) for t in range(400)]
+    df = spark.createDataFrame(ev, "u long, t long, k string").repartition(5)
+    by_actor = {}
+    for u, _, k in ev:
+        by_actor.setdefault(u, []).append(k)
+    want = Counter((a, b) for x in by_actor.values() for a, b in zip(x, x[1:]) if b is not None)
+    key = lambda x: tuple(map(str, x))
+    for period in (None, F.floor(F.col("t") / 7), F.floor(F.col("t") / 150), F.lit(0)):
+        got = build.transitions(df, "u", "k", ["t"], period).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(((*p, n) for p, n in want.items()), key=key)
+    assert build.transitions(df.limit(0), "u", "k", ["t"], F.col("t")).count() == 0
+
+
+def test_null_ends(spark):
+    e = edges(spark, [(1, 2), (2, 1), (None, 1), (2, None), (None, None)])
+    assert rows(graph.symmetrize(e)) == [(1, 2), (2, 1)]
+    assert dict(graph.degree(e).collect()) == {1: 1, 2: 2, None: 2}
+    assert rows(graph.sym_norm(e)) == [(1, 2, pytest.approx(1 / math.sqrt(2))), (2, 1, pytest.approx(1 / math.sqrt(2)))]
+    x = graph.features(spark.createDataFrame([(1, [1.0, None]), (2, None), (3, []), (None, [5.0])], "v long, x array<double>"), "v", "x")
+    assert x.count() == 3 and rows(graph.mean_messages(e.where("src is not null"), x)) == [(2, 0, 1.0), (2, 1, None)]
+    left, right = spark.createDataFrame([(1, 7), (None, 8), (2, None)], "k long, a long"), spark.createDataFrame([(1, 5), (1, 5), (None, 6), (2, 9)], "k2 long, b long")
+    assert sorted(map(tuple, build.bipartite(left, right, ("k", "k2"), "a", "b").collect()), key=str) == [(7, 5), (None, 9)]
+
+
+def test_scores_of_nothing(spark):
+    none, labels = edges(spark, []), spark.createDataFrame([], "v long, cluster long")
+    assert graph.louvain_level(none).count() == 0 and graph.conductance(none, labels).count() == 0 and graph.coarsen(none, labels).count() == 0
+    assert graph.modularity(none, labels).first()[0] is None and graph.agreement(labels, labels).first() is not None
+
+
+@pytest.mark.parametrize("name", ["degree", "nearest_centroid", "louvain_level", "components", "core_k", "neighbour_sample"])
+def test_queries_leave_one_table(spark, name):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("table-*"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(set(folder.glob("table-*")) - before) == 1
+
+
 def test_transitions(spark):
     ev = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "a")], "u long, t long, k string")
     assert rows(build.transitions(ev, "u", "k", ["t"])) == [("a", "b", 1), ("b", "a", 1)]

@@ -6,35 +6,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.vectors import comparable
 
-#: Vectors in a block. A pair of blocks is one unit of work of bounded size.
-BLOCK = 1024
+#: Vectors in a block, of which a pair is one unit of work and is shuffled whole; rows of one that are scored at once.
+BLOCK, TILE = 8192, 512
+#: Members of a group that meet the whole group in one place. A larger group is divided into as many places as it has times this.
+HEAVY = 512
 
 
-def copurchase(items: DataFrame, group: str, member: str, min_weight: int = 1) -> DataFrame:
+def copurchase(items: DataFrame, group: str, member: str, min_weight: int = 1, heavy: int = HEAVY) -> DataFrame:
     """(src, dst, weight), src < dst: members that share at least ``min_weight`` distinct groups.
 
-    The weight is summed before the shuffle by pair; nulls take no part.
+    The weight is summed before the shuffle by pair; nulls take no part, rows
+    that repeat count once. The pairs of a group of m members are made in
+    ceil(m / ``heavy``) places, each of at most about ``heavy`` times m, so one
+    giant group is spread like many; only its members are sent to all of them.
     """
     one = items.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
-    a, b = one.toDF("g", "src"), one.toDF("g", "dst")
-    return a.join(b, "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
+    large = one.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("g", F.ceil(F.col("n") / heavy).cast("int").alias("places"))
+    dealt = one.join(large, "g", "left").withColumn("places", F.coalesce("places", F.lit(1)))
+    a = dealt.select("g", F.col("m").alias("src"), F.when(F.col("places") == 1, 0).otherwise(F.pmod(F.xxhash64("m"), "places")).cast("int").alias("place"))
+    b = dealt.select("g", F.col("m").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    return a.join(b, ["g", "place"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
 
 
 def bipartite(left: DataFrame, right: DataFrame, on: tuple[str, str], src: str, dst: str) -> DataFrame:
-    """(src, dst): distinct pairs of ``left.src`` and ``right.dst`` whose rows meet."""
+    """(src, dst): distinct pairs of ``left.src`` and ``right.dst`` whose rows meet. Null keys meet nothing; a null end is a vertex of its own; either table may be empty."""
     return left.join(right, left[on[0]] == right[on[1]]).select(left[src].alias("src"), right[dst].alias("dst")).distinct()
 
 
-def transitions(events: DataFrame, actor: str, kind: str, order: list[str]) -> DataFrame:
-    """(src, dst, weight): how often an actor's event of kind src is followed by one of kind dst."""
-    following = F.lead(kind).over(Window.partitionBy(actor).orderBy(*order))
-    return events.select(F.col(kind).alias("src"), following.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+def transitions(events: DataFrame, actor: str, kind: str, order: list[str], period: Column | None = None) -> DataFrame:
+    """(src, dst, weight): how often an actor's event of kind src is followed by one of kind dst.
+
+    A null actor is an actor, its events follow each other; an event of null
+    kind is followed but follows nothing. Events that tie in ``order`` follow
+    each other in any order. ``period``: what an event's order falls into, a day
+    say, never falling while the order rises. With it, an actor's periods are
+    sorted apart and only their first and last kinds meet, so that no task holds
+    an actor's whole history.
+    """
+    if period is None:
+        following = F.lead(kind).over(Window.partitionBy(actor).orderBy(*order))
+        pairs = events.select(F.col(kind).alias("src"), following.alias("dst"))
+        return pairs.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    e = events.select(F.col(actor).alias("actor"), F.col(kind).alias("kind"), F.struct(*order).alias("at"), period.alias("period"))
+    within = e.select(F.col("kind").alias("src"), F.lead("kind").over(Window.partitionBy("actor", "period").orderBy("at")).alias("dst"))
+    ends = e.groupBy("actor", "period").agg(F.min(F.struct("at", "kind"))["kind"].alias("first"), F.max(F.struct("at", "kind"))["kind"].alias("last"))
+    between = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.partitionBy("actor").orderBy("period")).alias("dst"))
+    return within.unionByName(between).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
@@ -50,7 +73,11 @@ def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
 
 
 def _scored(df: DataFrame, key: str, vector: str, keep, block: int, digits: int) -> DataFrame:
-    """(src, dst, weight) of what ``keep`` picks of the rounded cosines of each pair of blocks, whole blocks against whole blocks."""
+    """(src, dst, weight) of what ``keep`` picks of the rounded cosines of each pair of blocks, a few rows of one against the whole other.
+
+    Each block is sent to every other one, so n vectors are shuffled n / ``block``
+    times; ``neighbour_descent`` is there for tables for which that is too much.
+    """
     rows, n = _usable(df, key, vector)
     blocks = max(1, -(-n // block), min(16, -(-n // 128)))
     packed = _blocks(rows, blocks)
@@ -62,9 +89,12 @@ def _scored(df: DataFrame, key: str, vector: str, keep, block: int, digits: int)
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values.to_numpy() for c in ("a", "b"))
                 va, vb = (batch.column(c)[i].values.to_numpy().reshape(len(ids), -1) for c, ids in (("va", a), ("vb", b)))
-                cs = (va @ vb.T) / np.sqrt((va * va).sum(1))[:, None] / np.sqrt((vb * vb).sum(1))[None, :]
-                r, c = keep(np.round(cs, digits), a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[r]), pa.array(b[c]), pa.array(np.round(cs[r, c], digits))], names=["src", "dst", "weight"])
+                length = np.sqrt((vb * vb).sum(1))
+                for t in range(0, len(a), TILE):
+                    ids, rows_ = a[t : t + TILE], va[t : t + TILE]
+                    cs = np.round((rows_ @ vb.T) / np.sqrt((rows_ * rows_).sum(1))[:, None] / length[None, :], digits)
+                    r, c = keep(cs, ids, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(b[c]), pa.array(cs[r, c])], names=["src", "dst", "weight"])
 
     met = left.join(right.repartition(blocks, "with"), "with").select("a", "va", "b", "vb")
     return met.mapInArrow(run, "src bigint, dst bigint, weight double")

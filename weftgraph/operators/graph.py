@@ -12,18 +12,18 @@ MOST_BROADCAST = 1_000_000
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """(src, dst): both directions of every edge once, without self-loops."""
+    """(src, dst): both directions of every edge once, without self-loops. Edges with a null end are left out; an empty table stays empty."""
     one = edges.select("src", "dst").where("src <> dst")
     return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    """(v, degree) of a symmetric edge table."""
+    """(v, degree) of a symmetric edge table: its rows by src, repeated ones and, as null, those without one included."""
     return edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
 
 
 def sym_norm(edges: DataFrame, loops: bool = False) -> DataFrame:
-    """(src, dst, weight): 1 / sqrt(d(src) d(dst)); ``loops``: every vertex also has itself as a neighbour."""
+    """(src, dst, weight): 1 / sqrt(d(src) d(dst)); ``loops``: every vertex also has itself as a neighbour. Edges with a null end, or to a vertex without edges of its own, are left out."""
     if loops:
         v = edges.select("src").distinct()
         edges = edges.union(v.select("src", F.col("src").alias("dst")))
@@ -33,12 +33,12 @@ def sym_norm(edges: DataFrame, loops: bool = False) -> DataFrame:
 
 
 def features(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(v, pos, x): vectors in long form."""
+    """(v, pos, x): vectors in long form. Null and empty vectors have no rows, null components are null."""
     return df.select(F.col(key).alias("v"), F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
 
 
 def mean_messages(edges: DataFrame, feats: DataFrame) -> DataFrame:
-    """(v, pos, x): the mean of the neighbours' features."""
+    """(v, pos, x): the mean of the neighbours' features that are not null. A vertex without such a neighbour has no rows; null ends meet nothing."""
     sent = edges.join(feats.withColumnRenamed("v", "dst"), "dst")
     return sent.groupBy(F.col("src").alias("v"), "pos").agg(F.avg("x").alias("x"))
 
@@ -120,12 +120,15 @@ def nearest_centroid(feats: DataFrame, clusters: DataFrame, digits: int = 6) ->
     """(v, cluster): the cluster whose mean has the largest rounded inner product with the vertex, ties to the smaller.
 
     Centroids are broadcast up to MOST_BROADCAST components, so the features, which
-    have few positions to be dealt by, stay where they are.
+    have few positions to be dealt by, stay where they are. The result reads a
+    table in the shared folder.
     """
     means = materialize(feats.join(clusters.toDF("v", "cluster"), "v").groupBy("cluster", "pos").agg(F.avg("x").alias("mean")))
     few = means.count() <= MOST_BROADCAST
     scores = feats.join(F.broadcast(means) if few else means, "pos").groupBy("v", "cluster").agg(F.round(F.sum(F.col("x") * F.col("mean")), digits).alias("score"))
-    return scores.groupBy("v").agg(F.max_by("cluster", F.struct("score", -F.col("cluster"))).alias("cluster"))
+    out = materialize(scores.groupBy("v").agg(F.max_by("cluster", F.struct("score", -F.col("cluster"))).alias("cluster")))
+    discard(means)
+    return out
 
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
@@ -186,4 +189,7 @@ def louvain_level(edges: DataFrame, rounds: int = 10) -> DataFrame:
         labels, idle = new.select("v", "cluster"), 0 if new.where("moved").limit(1).count() else idle + 1
         if idle == 2:
             break
-    return labels
+    out = labels if rounds else materialize(labels)
+    discard(edges)
+    discard(d)
+    return out

@@ -14,7 +14,7 @@ from weftgraph.operators.leiden import leiden
 from weftgraph.operators.partition import balanced_partition
 from weftgraph.operators.pooling import assign, fit_pooling
 from weftgraph.operators.sampling import sample_neighbours
-from weftgraph.plans.lineage import materialize
+from weftgraph.plans.lineage import discard, materialize
 from weftgraph.sources import table
 from weftgraph.streaming.edges import windowed_activity
 
@@ -50,8 +50,18 @@ e AS (SELECT src, dst FROM w UNION SELECT dst, src FROM w)"""
 
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symmetric neighbour graph of the embeddings, written once for the several reads of an operator."""
-    return materialize(graph.symmetrize(build.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")))
+    """The symmetric neighbour graph of the embeddings."""
+    return graph.symmetrize(build.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+def over(edges: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator, which may read its edges several times, makes of ``edges``. These are written once and go when its result is written."""
+    written = materialize(edges)
+    made = operator(written)
+    out = materialize(made)
+    discard(made)  # with what it reads: the edges, and the operator's own tables
+    discard(written)
+    return out
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +99,7 @@ def edges_windowed(spark, sf_dir):
 
 @query("SELECT src, dst, count(*) AS weight FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY 1, 2")
 def edges_transition(spark, sf_dir):
-    return build.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+    return build.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], F.to_date("ts"))
 
 
 @query(f"WITH {NEAR} SELECT src, dst, weight FROM c WHERE src < dst AND weight >= 0.3")
@@ -109,22 +119,22 @@ def symmetrize(spark, sf_dir):
 
 @query(f"WITH {NEAR} SELECT v, degree FROM d")
 def degree(spark, sf_dir):
-    return graph.degree(near(spark, sf_dir))
+    return over(near(spark, sf_dir), graph.degree)
 
 
 @query(f"WITH {NEAR} SELECT src, dst, round(1 / sqrt(a.degree * b.degree), 9) AS weight FROM e JOIN d a ON src = a.v JOIN d b ON dst = b.v")
 def sym_norm(spark, sf_dir):
-    return graph.sym_norm(near(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+    return over(near(spark, sf_dir), graph.sym_norm).withColumn("weight", F.round("weight", 9))
 
 
 @query(f"WITH {NEAR}, x AS (SELECT vec_id AS v, unnest(e) AS x, unnest(range(0, len(e)))::INT AS pos FROM v) SELECT src AS v, pos, round(avg(x), 6) + 0.0 AS x FROM e JOIN x ON dst = x.v GROUP BY 1, 2")
 def mean_message_pass(spark, sf_dir):
-    return graph.mean_messages(near(spark, sf_dir), vectors(spark, sf_dir)).withColumn("x", F.round("x", 6) + F.lit(0.0))
+    return over(near(spark, sf_dir), lambda e: graph.mean_messages(e, vectors(spark, sf_dir))).withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(f"WITH RECURSIVE {BOUGHT}, r AS (SELECT src AS v, src AS o FROM e UNION SELECT r.v, e.dst FROM r JOIN e ON r.o = e.src) SELECT v, min(o) AS component FROM r GROUP BY 1")
 def components(spark, sf_dir):
-    return connected_components(bought(spark, sf_dir))
+    return over(bought(spark, sf_dir), connected_components)
 
 
 def _propagation(rounds: int) -> str:
@@ -136,12 +146,12 @@ def _propagation(rounds: int) -> str:
 
 @query(_propagation(1))
 def cluster_embeddings(spark, sf_dir):
-    return graph.label_propagation(near(spark, sf_dir), 1)
+    return over(near(spark, sf_dir), lambda e: graph.label_propagation(e, 1))
 
 
 @query(_propagation(3))
 def label_propagation(spark, sf_dir):
-    return graph.label_propagation(near(spark, sf_dir), 3)
+    return over(near(spark, sf_dir), lambda e: graph.label_propagation(e, 3))
 
 
 ENDS = "j AS (SELECT a.cluster AS c_a, b.cluster AS c_b FROM e JOIN p a ON src = a.v JOIN p b ON dst = b.v)"
@@ -149,17 +159,17 @@ ENDS = "j AS (SELECT a.cluster AS c_a, b.cluster AS c_b FROM e JOIN p a ON src =
 
 @query(f"WITH {NEAR}, {ENDS}, s AS (SELECT c_a, count(*) AS vol, count(*) FILTER (WHERE c_a = c_b) AS i FROM j GROUP BY 1) SELECT round(sum(i) / sum(vol) - sum(vol::DOUBLE ** 2) / sum(vol)::DOUBLE ** 2, 9) AS modularity FROM s")
 def modularity(spark, sf_dir):
-    return graph.modularity(near(spark, sf_dir), parts(spark, sf_dir)).select(F.round("modularity", 9).alias("modularity"))
+    return over(near(spark, sf_dir), lambda e: graph.modularity(e, parts(spark, sf_dir))).select(F.round("modularity", 9).alias("modularity"))
 
 
 @query(f"WITH {NEAR}, {ENDS}, s AS (SELECT c_a, count(*) AS vol, count(*) FILTER (WHERE c_a <> c_b) AS cut FROM j GROUP BY 1) SELECT c_a AS cluster, round(cut / least(vol, (SELECT sum(vol) FROM s) - vol), 9) AS conductance FROM s")
 def cluster_conductance(spark, sf_dir):
-    return graph.conductance(near(spark, sf_dir), parts(spark, sf_dir)).withColumn("conductance", F.round("conductance", 9))
+    return over(near(spark, sf_dir), lambda e: graph.conductance(e, parts(spark, sf_dir))).withColumn("conductance", F.round("conductance", 9))
 
 
 @query(f"WITH {NEAR} SELECT count(*) AS triangles FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst")
 def triangle_count(spark, sf_dir):
-    return graph.triangles(near(spark, sf_dir))
+    return over(near(spark, sf_dir), graph.triangles)
 
 
 def _smoothed(hops: int) -> str:
@@ -174,14 +184,14 @@ def _smoothed(hops: int) -> str:
 
 @query(_smoothed(2) + "SELECT v, pos, round(x, 6) + 0.0 AS x FROM x2")
 def sgc_two_hops(spark, sf_dir):
-    return graph.smoothed(near(spark, sf_dir), vectors(spark, sf_dir), 2).withColumn("x", F.round("x", 6) + F.lit(0.0))
+    return over(near(spark, sf_dir), lambda e: graph.smoothed(e, vectors(spark, sf_dir), 2)).withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(_smoothed(2) + """, m AS (SELECT label::BIGINT AS cluster, pos, avg(x) AS mean FROM x2 JOIN v ON vec_id = x2.v GROUP BY 1, 2),
 t AS (SELECT x2.v, cluster, round(sum(x * mean), 6) AS score FROM x2 JOIN m USING (pos) GROUP BY 1, 2)
 SELECT v, cluster FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, cluster) AS r FROM t) WHERE r = 1""")
 def nearest_centroid(spark, sf_dir):
-    return graph.nearest_centroid(graph.smoothed(near(spark, sf_dir), vectors(spark, sf_dir), 2), classes(spark, sf_dir))
+    return over(near(spark, sf_dir), lambda e: graph.nearest_centroid(graph.smoothed(e, vectors(spark, sf_dir), 2), classes(spark, sf_dir)))
 
 
 @query("SELECT label::BIGINT AS a, vec_id % 5 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2")
@@ -203,7 +213,7 @@ def cluster_agreement(spark, sf_dir):
 
 @query(f"WITH {NEAR}, {ENDS} SELECT c_a AS src, c_b AS dst, count(*) AS weight FROM j GROUP BY 1, 2")
 def coarsen(spark, sf_dir):
-    return graph.coarsen(near(spark, sf_dir), parts(spark, sf_dir))
+    return over(near(spark, sf_dir), lambda e: graph.coarsen(e, parts(spark, sf_dir)))
 
 
 def _pagerank(rounds: int) -> str:
@@ -214,30 +224,29 @@ def _pagerank(rounds: int) -> str:
 
 @query(_pagerank(5))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(near(spark, sf_dir), 5).withColumn("rank", F.round("rank", 6))
+    return over(near(spark, sf_dir), lambda e: graph.pagerank(e, 5)).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"WITH {NEAR} SELECT src, dst FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
 def k_hop_neighbourhood(spark, sf_dir):
-    return graph.k_hop(near(spark, sf_dir), 2)
+    return over(near(spark, sf_dir), lambda e: graph.k_hop(e, 2))
 
 
 @query(f"""WITH {NEAR}, s1 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('3|1|' || src || '|' || dst), dst) AS r FROM e) WHERE r <= 4),
 s2 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('3|2|' || src || '|' || dst), dst) AS r FROM e WHERE src IN (SELECT dst FROM s1)) WHERE r <= 2)
 SELECT 1 AS hop, src, dst FROM s1 UNION ALL SELECT 2, src, dst FROM s2""")
 def neighbour_sample(spark, sf_dir):
-    edges = near(spark, sf_dir)
-    return sample_neighbours(edges, edges.select(F.col("src").alias("v")), [4, 2], seed=3)
+    return over(near(spark, sf_dir), lambda e: sample_neighbours(e, e.select(F.col("src").alias("v")), [4, 2], seed=3))
 
 
 @query()
 def balanced_parts(spark, sf_dir):
-    return balanced_partition(near(spark, sf_dir), 10)
+    return over(near(spark, sf_dir), lambda e: balanced_partition(e, 10))
 
 
 @query()
 def leiden_clusters(spark, sf_dir):
-    return leiden(near(spark, sf_dir))
+    return over(near(spark, sf_dir), leiden)
 
 
 @query()
@@ -248,7 +257,7 @@ def knn_descent(spark, sf_dir):
 @query()
 def soft_pooling(spark, sf_dir):
     feats = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("x"))
-    return assign(feats, fit_pooling(near(spark, sf_dir), feats, 8, steps=20)).select("v", "cluster")
+    return over(near(spark, sf_dir), lambda e: assign(feats, fit_pooling(e, feats, 8, steps=20)).select("v", "cluster"))
 
 
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
@@ -260,12 +269,12 @@ z AS (SELECT src, count(*) AS degree FROM r WHERE i = (SELECT max(i) FROM r) GRO
 
 @query(f"WITH RECURSIVE {BOUGHT}, {CORE} SELECT src AS v FROM z WHERE (SELECT min(degree) FROM z) >= 2")
 def core_k(spark, sf_dir):
-    return graph.core(graph.symmetrize(bought(spark, sf_dir)), 2)
+    return over(graph.symmetrize(bought(spark, sf_dir)), lambda e: graph.core(e, 2))
 
 
 @query()
 def louvain_level(spark, sf_dir):
-    return graph.louvain_level(near(spark, sf_dir))
+    return over(near(spark, sf_dir), graph.louvain_level)
 
 
 def _ml_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +296,7 @@ def power_iteration_clustering(spark, sf_dir):
     from pyspark.ml.clustering import PowerIterationClustering
 
     edges = near(spark, sf_dir).where("src < dst").withColumn("weight", F.lit(1.0))
-    return PowerIterationClustering(k=5, maxIter=10, weightCol="weight").assignClusters(edges).select(F.col("id").alias("v"), "cluster")
+    return over(edges, lambda e: PowerIterationClustering(k=5, maxIter=10, weightCol="weight").assignClusters(e).select(F.col("id").alias("v"), "cluster"))
 
 
 @query()
