@@ -503,6 +503,73 @@ def test_large_groups_of_a_template(spark):
     assert dict(near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+@pytest.mark.parametrize("n", [64, 180, 900])
+def test_near_copies_share_a_finer_key(n):
+    """However often keys are refined: 0.8 alike still share one of their keys in 99 %, and texts that share none before share none after."""
+    r = np.random.default_rng(35)
+    few = lambda k: r.integers(0, 1 << 64, k, dtype=np.uint64)
+    sets = []
+    for _ in range(400):
+        common = few(n - n // 9)
+        sets += [np.unique(np.concatenate([common, few(n // 9)])) for _ in range(2)]
+    x = near_duplicates.sketches(sets)
+    keys = [*np.concatenate([near_duplicates.keys_of(x[i : i + 100]) for i in range(0, 800, 100)])]
+    for level in range(1, near_duplicates.LEVELS + 1):
+        at = np.repeat(np.arange(800), [len(k) for k in keys])
+        finer = near_duplicates.finer_keys(x, at, np.concatenate(keys), level)
+        assert (finer > 0).all() and (finer < 1 << 62).all()
+        keys = [np.unique(finer[at == i]) for i in range(800)]
+        if level == 1:
+            assert sum(np.intersect1d(keys[i], keys[i + 1]).size > 0 for i in range(0, 800, 2)) >= 396
+    assert sum(np.intersect1d(keys[i], keys[i + 1]).size > 0 for i in range(0, 800, 2)) >= 370
+    assert np.mean([np.intersect1d(keys[i], keys[i + 3]).size for i in range(0, 796, 2)]) < 0.02
+
+
+@pytest.mark.parametrize("leaf", [1, 4, 30])
+def test_keys_that_too_many_texts_have(spark, leaf):
+    """With far lower limits than the library's, keys are refined up to the last level and what is left goes to tiles: the groups are brute force's."""
+    r, rows = random.Random(47), []
+    word = lambda: f"w{r.randrange(10**9)}"
+    shared = [word() for _ in range(100)]
+    for g in range(60):
+        own = shared + [word() for _ in range(25)] if g % 2 else [word() for _ in range(120)]
+        rows.append((len(rows), " ".join(own)))
+        if g % 6 < 2:
+            own[60] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + i, " ".join([*shared[:12], word()])) for i in range(12)]  # short ones, by their lowest hashes
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert dict(near_duplicates.groups(df, leaf=leaf).collect()) == brute_groups(rows)
+
+
+def test_a_key_over_the_limit_is_never_put_together():
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    key = np.sort(np.r_[np.full(500, 7), np.full(90, 3), r.integers(10, 40, 200)])
+    table = pa.table({"key": key, "row": np.arange(len(key))})
+    whole, rest, most = [], [], [0]
+
+    def fn(k, row):
+        assert len(set(k.to_pylist())) >= 1
+        whole.append(row.to_pylist())
+        return iter(())
+
+    def beyond(k, row):
+        most.append(len(k))
+        rest.append((set(k.to_pylist()), row.to_pylist()))
+        return iter(())
+
+    for size in (1, 7, 64, 1000):
+        whole.clear(), rest.clear()
+        list(near_duplicates.by_key(fn, 100, beyond)(iter(table.to_batches(max_chunksize=size))))
+        assert sorted(x for w in whole for x in w) + sorted(x for _, w in rest for x in w) and sorted([*(x for w in whole for x in w), *(x for _, w in rest for x in w)]) == list(range(len(key)))
+        assert {k for ks, _ in rest for k in ks} == ({7} if size < 500 else set())
+        assert all(len({int(key[x]) for x in w}) == len(set(map(int, key[w]))) for w in whole)
+        for k in {3, *range(10, 40)}:  # every other key is in one piece
+            assert sum(any(key[x] == k for x in w) for w in whole) == (1 if (key == k).any() else 0)
+
+
 def test_many_near_copies_in_one_partition(spark):
     """Of texts copied with changes very often, those which come first in a partition stand for the others; chains off them are still found."""
     r = random.Random(43)
