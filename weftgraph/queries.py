@@ -13,7 +13,9 @@ from weftgraph.operators.descent import neighbour_descent
 from weftgraph.operators.leiden import leiden
 from weftgraph.operators.partition import balanced_partition
 from weftgraph.operators.pooling import assign, fit_pooling
+from weftgraph.operators.reach import neighbourhood_sizes as sizes_within, personalised_pagerank as ranks_from
 from weftgraph.operators.sampling import sample_neighbours
+from weftgraph.operators.spectral import spectral_embedding as eigenvectors
 from weftgraph.plans.lineage import discard, materialize
 from weftgraph.sources import table
 from weftgraph.streaming.edges import windowed_activity
@@ -260,6 +262,22 @@ def soft_pooling(spark, sf_dir):
     return over(near(spark, sf_dir), lambda e: assign(feats, fit_pooling(e, feats, 8, steps=20)).select("v", "cluster"))
 
 
+@query(f"""WITH {NEAR}, r1 AS (SELECT v, v AS o FROM d UNION SELECT src, dst FROM e), r2 AS (SELECT v, o FROM r1 UNION SELECT r1.v, e.dst FROM r1 JOIN e ON r1.o = e.src)
+SELECT v, 1 AS hop, count(*) AS size FROM r1 GROUP BY 1 UNION ALL SELECT v, 2, count(*) FROM r2 GROUP BY 1""")
+def neighbourhood_sizes(spark, sf_dir):
+    return over(near(spark, sf_dir), lambda e: sizes_within(e, 2))
+
+
+@query()
+def personalised_pagerank(spark, sf_dir):
+    return over(near(spark, sf_dir), lambda e: ranks_from(e, e.select(F.col("src").alias("v")), epsilon=1e-3))
+
+
+@query()
+def spectral_embedding(spark, sf_dir):
+    return over(near(spark, sf_dir), lambda e: eigenvectors(e, 4, rounds=20)[0])
+
+
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
 CORE = """
 r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
