@@ -16,6 +16,7 @@ from weftgraph.operators.pooling import assign, fit_pooling
 from weftgraph.operators.reach import neighbourhood_sizes as sizes_within, personalised_pagerank as ranks_from
 from weftgraph.operators.sampling import sample_neighbours
 from weftgraph.operators.spectral import spectral_embedding as eigenvectors
+from weftgraph.operators.walks import random_walks as walked
 from weftgraph.plans.lineage import discard, materialize
 from weftgraph.sources import table
 from weftgraph.streaming.edges import windowed_activity
@@ -278,6 +279,11 @@ def spectral_embedding(spark, sf_dir):
     return over(near(spark, sf_dir), lambda e: eigenvectors(e, 4, rounds=20)[0])
 
 
+@query()
+def random_walks(spark, sf_dir):
+    return over(near(spark, sf_dir), lambda e: walked(e, e.select(F.col("src").alias("v")), 4, p=0.5, q=2.0))
+
+
 #: Rounds of peeling, each of the edges that the one before has left, until all vertices have two neighbours or none is left.
 CORE = """
 r AS (SELECT 0 AS i, src, dst FROM e UNION ALL SELECT i + 1, src, dst FROM r WHERE EXISTS (SELECT 1 FROM r GROUP BY src HAVING count(*) < 2)
