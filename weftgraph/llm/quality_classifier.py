@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, in_arrow, per_batch
+from weftgraph.llm.common import documents, in_arrow, per_batch, texts
 from weftgraph.llm.quality_rules import BLANKS, SYMBOLS, let, without, word_array
 from weftgraph.llm.weak_supervision import fault_classes
 
@@ -104,14 +104,11 @@ def bucket(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature.encode()) % BUCKETS
 
 
-def whole_features(words: list[str], text: str) -> list[str]:
-    """Features of the document as a whole: classes of length, variety, repetition and lines."""
-    n = len(words)
+def whole_features(n: int, distinct: int, same: int, text: str) -> list[str]:
+    """Features of the document as a whole: classes of length, variety, repetition (``same``: words equal to the one before) and lines."""
     if not n:
         return ["empty"]
-    distinct = len(set(words))
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    same = sum(a == b for a, b in zip(words, words[1:]))
     return [f"variety {min(n.bit_length(), 12)} {int(10 * distinct / n)}", f"distinct {int(10 * distinct / n)}", f"same {int(10 * same / n)}", f"lines {int(4 * (1 - len(set(lines)) / len(lines)))}" if len(lines) > 3 else "few lines"]
 
 
@@ -119,30 +116,44 @@ def split_words(text: str) -> list[str]:
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
 
 
+class Numbers(dict):
+    """A number for each word, from 0, and what it weighs, which is computed once."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.values = weights, np.zeros(1024)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(n)])
+        self.values[n] = self.weights[bucket("w " + word.lower())] + self.weights[bucket("s " + shape(word))]
+        self[word] = n
+        return n
+
+
 class Scorer:
     """A linear scorer over hashed features: the mean weight of the words and of their shapes, and the weights of the whole."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def word(self, w: str) -> float:
-        out = float(self.weights[bucket("w " + w.lower())] + self.weights[bucket("s " + shape(w))])
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[w] = out
-        return out
-
-    def score(self, text: str) -> float:
-        words = split_words(text)
-        known = self.known
-        z = self.bias + sum(float(self.weights[bucket(f)]) for f in whole_features(words, text))
-        if words:
-            total = 0.0
-            for w in words:
-                x = known.get(w)
-                total += self.word(w) if x is None else x
-            z += 10 * total / len(words)
-        return 1 / (1 + float(np.exp(-max(-50.0, min(50.0, z)))))
+        self.weights, self.bias, self.known = weights, bias, Numbers(weights)
+
+    def forget(self) -> None:
+        self.known = Numbers(self.weights)
+
+    def scores(self, texts: Iterator[str]) -> np.ndarray:
+        """The probability that each text is good. Words are looked up once a text and weighed all at once; few texts are held."""
+        out = []
+        for text in texts:
+            if len(self.known) >= CACHE:
+                self.forget()
+            words = split_words(text)
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            whole = whole_features(len(ids), len(np.unique(ids)), int((ids[1:] == ids[:-1]).sum()), text)
+            z = self.bias + sum(float(self.weights[bucket(f)]) for f in whole)
+            if len(ids):
+                z += 10 * float(self.known.values[ids].sum()) / len(ids)
+            out.append(z)
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float), -50.0, 50.0)))
 
 
 def train(texts: list[str], goodness: list[float], epochs: int = 12, rate: float = 0.2, decay: float = 1e-5, seed: int = 1) -> Scorer:
@@ -156,7 +167,7 @@ def train(texts: list[str], goodness: list[float], epochs: int = 12, rate: float
             for f in ("w " + w.lower(), "s " + shape(w)):
                 b = bucket(f)
                 found[b] = found.get(b, 0.0) + 10 / len(words)
-        for f in whole_features(words, t):
+        for f in whole_features(len(words), len(set(words)), sum(a == b for a, b in zip(words, words[1:])), t):
             found[bucket(f)] = found.get(bucket(f), 0.0) + 1
         rows.append((np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), float, len(found))))
     y = np.array(goodness)
@@ -206,11 +217,10 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batch: pa.RecordBatch) -> dict:
-        s = sent.value
-        return {"k": batch.column("k"), "score": np.array([s.score(v.as_py() or "") for v in batch.column("text")])}
+        return {"k": batch.column("k"), "score": sent.value.scores(texts(batch))}
 
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    out = per_batch(body, run, f"k {body.schema['k'].dataType.simpleString()}, score double", lambda: sent.value.known.clear())
+    out = per_batch(body, run, f"k {body.schema['k'].dataType.simpleString()}, score double", lambda: sent.value.forget())
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= accept).alias("kept"))
 
 

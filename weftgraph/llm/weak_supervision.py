@@ -51,19 +51,20 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 100
     return share, table, post
 
 
-def fault_classes(counts: list[tuple[tuple[int, ...], float]], alarm: float = 0.0005, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], float]]:
+def fault_classes(counts: list[tuple[tuple[int, ...], float]], alarm: float = 0.0005, worth: float = 0.01, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], float]]:
     """(shares of the classes, P(vote | class) as classes x labellers x (-1, 0, 1), P(sound | pattern)) of labellers that look for different faults.
 
     Class 0 is sound, class j + 1 what labeller j looks for; given the class the
     labellers vote, or don't, independently. Starts from sound for patterns without
-    a vote against, and from equal shares of the classes of those who vote against
-    for the others. Nothing is held fixed: ``alarm`` is only the prior of how often
-    each labeller votes against what is sound, worth as many rows as there are, so
-    that a labeller who rarely votes against, and then alone, is taken to err, and
-    one who often does to have found a fault. A class in which its labeller does not
-    vote against more often than not is no fault and counts as sound. What is added
-    to counts that may be zero is in proportion to the rows, so a table a hundred
-    times as long gives the same. An empty table gives no posteriors.
+    a vote against, and for the others from equal shares of sound and the classes
+    of those who vote against. Nothing is held fixed: how often each labeller votes
+    against what is sound has the prior ``alarm``, which weighs as much as the
+    share ``worth`` of the rows, so that a labeller who rarely votes against, and
+    then alone, is taken to err, and one who often does to have found a fault. A
+    class in which its labeller does not vote against more often than not is no
+    fault and counts as sound. Counts that may be zero get a millionth of the rows.
+    All of it is in proportion to the rows, so a table a hundred times as long
+    gives the same. An empty table gives no posteriors.
     """
     if not counts:
         return np.array([1.0]), np.zeros((1, 0, 3)), {}
@@ -72,13 +73,14 @@ def fault_classes(counts: list[tuple[tuple[int, ...], float]], alarm: float = 0.
     total, labellers = weight.sum(), votes.shape[1]
     cast = np.stack([votes == x for x in (-1, 0, 1)], 2).astype(float)
     against = cast[:, :, 0]
-    post = np.concatenate([(against.sum(1, keepdims=True) == 0).astype(float), against / np.maximum(against.sum(1, keepdims=True), 1)], 1)
+    post = np.concatenate([np.ones((len(votes), 1)), against], 1)
+    post /= post.sum(1, keepdims=True)
     for _ in range(rounds):
         rows = weight[:, None] * post
         shares = (rows.sum(0) + 1e-6 * total) / (1 + 1e-6 * (labellers + 1)) / total
         table = np.einsum("pc,pjx->cjx", rows, cast) + 1e-6 * total
         table /= table.sum(2, keepdims=True)
-        bad = (weight * post[:, 0] @ against + alarm * total) / (rows[:, 0].sum() + total)
+        bad = (weight * post[:, 0] @ against + alarm * worth * total) / (rows[:, 0].sum() + worth * total)
         table[0] *= ((1 - bad) / table[0, :, 1:].sum(1))[:, None]
         table[0, :, 0] = bad
         odds = np.log(shares) + np.einsum("pjx,cjx->pc", cast, np.log(table))
