@@ -249,7 +249,7 @@ def balanced_parts(spark, sf_dir):
 
 @query()
 def leiden_clusters(spark, sf_dir):
-    return over(near(spark, sf_dir), leiden)
+    return over(near(spark, sf_dir), lambda e: leiden(e, levels=5, rounds=6, refinements=3))
 
 
 @query()
