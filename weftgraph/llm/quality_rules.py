@@ -68,7 +68,11 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row; a null text is empty."""
+    """(key, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row, repeated ones too.
+
+    A null text is empty, and like texts without words has none of these. Texts
+    are measured whole, however long; an empty table gives an empty one.
+    """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     t = F.col("text")
     counts = let(word_array(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
@@ -150,7 +154,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample: DataFrame
     """``docs`` (what ``measures`` gives) with ``kept``: false where ``first`` holds or a rule rejects, in the order found on ``sample``.
 
     ``sample``: rows like those of ``docs``, by default its first SAMPLE rows.
-    ``first``: a condition asked before all rules.
+    ``first``: a condition asked before all rules. The sample decides the order
+    of the rules and never the verdict, so rows that repeat get the same one; an
+    empty sample leaves the order to their costs, an empty table stays empty.
     """
     rules = default_rules() if rules is None else rules
     sample = docs.limit(SAMPLE) if sample is None else sample

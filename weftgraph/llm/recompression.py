@@ -362,7 +362,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     A window of ``window`` words is repeated if its words also start in a row of
     smaller key; all its words go. Windows are judged on the input. Texts of
     fewer words lose none; null texts are empty; a null key counts as the
-    largest. Rows of the same key never remove words from each other. ``kept``
+    largest. Rows of the same key never remove words from each other; they are
+    told apart by a 32-bit hash of their texts, so two different texts of one key
+    that also share that hash (one pair in four thousand million) are mixed up. Rows
+    that repeat are returned each, an empty table gives an empty one. ``kept``
     holds the words left, joined by single spaces. Words end at ASCII white space.
     """
     body = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))

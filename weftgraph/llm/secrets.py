@@ -176,6 +176,9 @@ def find_spans(text: str, model: MarkovRatio, min_ratio: float = MIN_RATIO) -> l
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: MarkovRatio | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
     """(key, spans array<struct<kind,start,end>>) of every row; null and empty texts have no spans.
 
+    Texts are searched whole, however long. Rows that repeat are scanned each; an
+    empty table gives an empty one.
+
     ``model``: fitted elsewhere with labelled samples, by default on ``labelled_samples()``.
     """
     def run(batch: pa.RecordBatch) -> dict:

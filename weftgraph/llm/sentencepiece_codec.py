@@ -458,6 +458,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...
     Null and empty texts have no pieces. Other columns are left out. The model
     (half a megabyte) travels with the tasks; texts are coded a few at a time and
     leave in batches of bounded size, so a very long text costs its own length.
+    Rows that repeat are coded each; an empty table gives an empty one.
     """
     rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).alias("text"))
     kinds = "".join(f"k{i} {df.select(k).schema[0].dataType.simpleString()}, " for i, k in enumerate(keep))

@@ -77,7 +77,12 @@ def fingerprint(text: str, k: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, k: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp bigint): the fingerprint's 64 bits as a signed number. Null texts are empty."""
+    """(key, fp bigint): the fingerprint's 64 bits as a signed number.
+
+    Null texts are empty; empty texts and those without words have fingerprint
+    zero. Very long texts are hashed whole. Every row has a fingerprint, rows that
+    repeat the same one; an empty table gives an empty one.
+    """
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t, k, seed) for t in texts(batch)], np.uint64)
         return {"k": batch.column("k"), "fp": fps.view(np.int64)}
@@ -232,7 +237,8 @@ def components(fps: DataFrame, limit: int = 2, key: str = "doc_id", refine: int
 
     Equal fingerprints link. A null key is never the smallest unless alone.
     Copies meet only in sums (the least key of each fingerprint), combined
-    before the shuffle; links are between distinct fingerprints.
+    before the shuffle; links are between distinct fingerprints. Rows that repeat
+    are returned each; an empty table gives an empty one.
     """
     least = materialize(fps.groupBy("fp").agg(F.min(key).alias("least")))
     groups = connected_components(links(least.select("fp"), limit, refine))

@@ -382,7 +382,12 @@ def is_held_out(key):
 
 
 def with_scores(docs: DataFrame, net: Network, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text in column ``to``; null is the empty text, whose score is that of no windows."""
+    """``docs`` with the score of each whole text in column ``to``.
+
+    Null is the empty text, whose score is that of no windows. Texts of any length
+    are scored over all their windows. Rows that repeat a text have the same
+    score; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
     rest = [c for c in docs.columns if c != to]
     body = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("text"))
