@@ -326,8 +326,12 @@ def power_iteration_clustering(spark, sf_dir):
 @query()
 def lsh_join(spark, sf_dir):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = _ml_vectors(spark, sf_dir)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2.0, numHashTables=3, seed=1).fit(rows)
-    found = model.approxSimilarityJoin(rows, rows, 1.1, "distance").where("datasetA.v < datasetB.v")
-    return found.select(F.col("datasetA.v").alias("src"), F.col("datasetB.v").alias("dst"), F.round("distance", 6).alias("distance"))
+    def buckets(rows):
+        rows = rows.withColumn("features", array_to_vector("v"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="found", bucketLength=2.0, numHashTables=3, seed=1).fit(rows)
+        return model.transform(rows).withColumn("hashes", F.array(*[vector_to_array(F.col("found")[i])[0].cast("bigint") for i in range(3)]))
+
+    found = build.bucket_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", buckets, 1.1)
+    return found.withColumn("distance", F.round("distance", 6))
