@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.sql import functions as F
 
-from weftgraph.operators import build
+from weftgraph.operators import build, graph
 from weftgraph.queries import QUERIES, _ml_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,38 @@ def test_lsh_join_is_the_library_join_without_its_rows_for_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Join")  # buckets are joined with their sizes; candidates are no rows of a join
+
+
+def test_smoothing_sends_vectors_whole(spark):
+    """Nulls, missing positions, a hub over many batches; held against plain sums. No join or shuffle has a row for each position."""
+    g = np.random.default_rng(6)
+    pairs = {(0, i) for i in range(1, 400)} | {tuple(sorted(p)) for p in g.integers(0, 400, (600, 2)).tolist() if p[0] != p[1]}
+    edges = graph.symmetrize(spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    feats = {(v, p): (None if g.random() < 0.1 else float(g.normal())) for v in range(0, 400) for p in (0, 1, 5000000) if g.random() < 0.8}
+    near = {v: {v} for v in range(400)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    near = {v: n for v, n in near.items() if len(n) > 1}
+    want = feats
+    for _ in range(2):
+        sums = {}
+        for v, n in near.items():
+            for u in n:
+                for p in (0, 1, 5000000):
+                    if (u, p) in want:
+                        x = want[u, p]
+                        old = sums.setdefault((v, p), None)
+                        if x is not None:
+                            sums[v, p] = (old or 0.0) + x / (len(n) * len(near[u])) ** 0.5
+        want = sums
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame([(v, p, x) for (v, p), x in feats.items()] + [(None, 0, 1.0)], "v long, pos int, x double")
+        found = graph.smoothed(edges, df, 2)
+        got = {(r["v"], r["pos"]): r["x"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # rows by position come last

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.lineage import discard, materialize
+from weftgraph.plans.workers import map_in_arrow
 
 #: Components of centroids up to which they are broadcast (20 bytes each).
 MOST_BROADCAST = 1_000_000
@@ -43,12 +48,63 @@ def mean_messages(edges: DataFrame, feats: DataFrame) -> DataFrame:
     return sent.groupBy(F.col("src").alias("v"), "pos").agg(F.avg("x").alias("x"))
 
 
+def added(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """(src, pos, x), a row for each src in order of its first: the sums of x times weight at each position of (src, weight, pos, x). What is null adds nothing; a sum of nulls only is null."""
+    code = rows.column("src").dictionary_encode()
+    names, pos = code.dictionary, rows.column("pos").flatten().to_numpy()
+    x = rows.column("x").flatten()
+    there = x.is_valid().to_numpy(zero_copy_only=False)
+    size = rows.column("pos").value_lengths().to_numpy()
+    place = np.repeat(code.indices.to_numpy().astype(np.int64), size)
+    at, pos = np.unique(pos, return_inverse=True)
+    cell = place * len(at) + pos
+    x = np.where(there, x.fill_null(0.0).to_numpy() * np.repeat(rows.column("weight").to_numpy(), size), 0.0)
+    cells, where = np.unique(cell, return_inverse=True) if len(names) * len(at) > 4 * len(cell) else (np.arange(len(names) * len(at)), cell)
+    sums, seen, known = (np.bincount(where, w, len(cells)) for w in (x, None, there))
+    keep = seen > 0
+    row, offsets = cells[keep] // max(len(at), 1), np.zeros(len(names) + 1, np.int32)
+    np.cumsum(np.bincount(row, minlength=len(names)), out=offsets[1:])
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (pa.array(at[cells[keep] % max(len(at), 1)].astype(np.int32)), pa.array(sums[keep], mask=known[keep] == 0))]
+    return pa.RecordBatch.from_arrays([names, *lists], names=["src", "pos", "x"])
+
+
+def _sums(sent: DataFrame) -> DataFrame:
+    """(v, pos, x): ``added`` over (src, weight, pos, x), one row for each src. Every batch is added up before the shuffle, so a hub sends a row for a batch; after it a task holds one batch and one row."""
+    kind = f"src {sent.schema['src'].dataType.simpleString()}, pos array<int>, x array<double>"
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield added(batch)
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.append_column("weight", pa.array(np.ones(batch.num_rows)))
+            if last is not None:
+                batch = pa.concat_batches([last.append_column("weight", pa.array(np.ones(1))).cast(batch.schema), batch])
+            sums = added(batch)
+            yield sums.slice(0, sums.num_rows - 1)
+            last = sums.slice(sums.num_rows - 1)
+        if last is not None:
+            yield last
+
+    met = map_in_arrow(sent, before, kind).repartition("src").sortWithinPartitions("src")
+    return map_in_arrow(met, after, kind).withColumnRenamed("src", "v")
+
+
 def smoothed(edges: DataFrame, feats: DataFrame, hops: int) -> DataFrame:
-    """(v, pos, x): features propagated ``hops`` times over the normalised graph with self-loops."""
+    """(v, pos, x): features propagated ``hops`` times over the normalised graph with self-loops.
+
+    A vertex sends its vector whole, not a row for each position.
+    """
     w = sym_norm(edges, loops=True)
+    whole = feats.where("v is not null").groupBy("v").agg(F.collect_list(F.struct("pos", "x")).alias("all")).select("v", F.col("all.pos").alias("pos"), F.col("all.x").alias("x"))
     for _ in range(hops):
-        feats = w.join(feats.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v"), "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-    return feats
+        whole = _sums(w.join(whole.withColumnRenamed("v", "dst"), "dst").select("src", "weight", "pos", "x"))
+    return whole.select("v", F.explode(F.arrays_zip("pos", "x")).alias("at")).select("v", "at.pos", "at.x")
 
 
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
@@ -123,11 +179,13 @@ def nearest_centroid(feats: DataFrame, clusters: DataFrame, digits: int = 6) ->
     have few positions to be dealt by, stay where they are. The result reads a
     table in the shared folder.
     """
+    feats = materialize(feats)
     means = materialize(feats.join(clusters.toDF("v", "cluster"), "v").groupBy("cluster", "pos").agg(F.avg("x").alias("mean")))
     few = means.count() <= MOST_BROADCAST
     scores = feats.join(F.broadcast(means) if few else means, "pos").groupBy("v", "cluster").agg(F.round(F.sum(F.col("x") * F.col("mean")), digits).alias("score"))
     out = materialize(scores.groupBy("v").agg(F.max_by("cluster", F.struct("score", -F.col("cluster"))).alias("cluster")))
     discard(means)
+    discard(feats)
     return out
 
 
