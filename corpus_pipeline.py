@@ -25,6 +25,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates: five-word shingles, similarity 0.8.
 
+    Candidates come from the Gray-order index over 64-bit fingerprints and, for
+    what differs in more bits, from wide fingerprints; shingles decide.
     Null and empty texts are copies of each other. Rows without an id stay, and
     rows that share one stay or go together.
     """

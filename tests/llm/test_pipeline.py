@@ -7,7 +7,7 @@ import sentencepiece
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_groups, nothing, odd, odd_rows  # noqa: F401  fixtures
-from weftgraph.llm import secrets
+from weftgraph.llm import near_duplicates, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,18 @@ def test_stages_on_odd_tables(odd, nothing, spark):
             assert len(rows) == odd.count()  # none of these is toxic by labels of other documents
         if name == "secrets":
             assert len(rows) == odd.count() and sum("0123456789abcdef0123456789abcdef" in (r["text"] or "") for r in rows) == 0
+
+
+def test_near_duplicates_come_through_the_gray_order_index(spark, monkeypatch):
+    """With no wide candidates at all, the stage still drops what the index links: copies with one changed word, but none below 0.8."""
+    words = [f"w{i}" for i in range(400)]
+    changed = [[*words[:k], "other", *words[k + 1 :]] for k in (50, 350)]
+    far = [w + "x" for w in words]
+    texts = [" ".join(w) for w in (words, *changed, far, words[:3], [*words[:3], "more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = lambda listed, *a: spark.createDataFrame([], "key long, a long, b long, over boolean")
+    monkeypatch.setattr(near_duplicates, "candidate_pairs", none)
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()}
+    bits = {i: simhash.fingerprint(t) for i, t in enumerate(texts)}
+    close = {i for i in (1, 2) if (bits[i] ^ bits[0]).bit_count() <= 2}
+    assert close and kept == set(range(6)) - close

@@ -23,6 +23,12 @@ shingles, and only links that join components leave a tile. A text copied with c
 it is read in, and only those which come first go on to the others. The
 fingerprints estimate the similarity; what is not clear is decided by the
 shingles themselves.
+
+Before that, the dealt index has its turn: 64-bit fingerprints of three-word
+shingles, within two bits of each other by masked patterns and the Gray-order
+hierarchy (``simhash``). What it links is decided by the shingles too, so that
+both ways find the same thing: texts that it has joined are one component when
+the tiles ask what is still apart, and a close pair that shares no key is found.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import in_arrow, per_batch
-from weftgraph.llm.simhash import FAN, hashed, shingles
+from weftgraph.llm.simhash import FAN, fingerprints, hashed, links, shingles
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import discard, materialize
 
@@ -586,6 +592,22 @@ def links_of(compared: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     return found
 
 
+def indexed_links(firsts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: texts (doc) that the Gray-order index links, by fingerprints of ``rows`` (doc, text) within two bits, and that are alike by their shingles.
+
+    Texts of one fingerprint are compared with the first of them, and the first
+    texts of linked fingerprints with each other: as many pairs as texts and links.
+    """
+    fps = materialize(fingerprints(rows.join(firsts.select("doc"), "doc", "left_semi"), key="doc"))
+    least = materialize(fps.groupBy("fp").agg(F.min("doc").alias("least")))
+    same = fps.join(least, "fp").where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
+    near = links(least.select("fp")).join(least.toDF("src", "x"), "src").join(least.toDF("dst", "y"), "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = exactly_alike(same.unionByName(near).distinct(), rows, similarity)
+    discard(fps)
+    discard(least)
+    return found
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """(doc, first): every row that is not the first of its group of near duplicates, and the smallest key of the group.
 
@@ -622,7 +644,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     else:
         members = members.unionByName(found.where("over"))
     near = kept(pairs.select("a", "b").distinct())
-    linked = links_of(similarity_of(near, listed, similarity), rows, similarity)
+    linked = links_of(similarity_of(near, listed, similarity), rows, similarity).unionByName(indexed_links(firsts, rows, similarity))
     of = connected_components(linked, "a", "b")
     linked = linked.unionByName(links_in_dense(members.select("key", F.col("a").alias("doc")), listed, rows, of, similarity))
     joined = connected_components(linked, "a", "b").toDF("first", "least")
