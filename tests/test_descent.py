@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from weftgraph.operators import build
-from weftgraph.operators.descent import introduced, neighbour_descent
+from weftgraph.operators.descent import ONE, introduced, introduced_in_cell, neighbour_descent
 from weftgraph.sources import table
 
 
@@ -68,3 +68,31 @@ def test_introductions_by_hand():
             met = [(-round(float(x[m] @ x[u]), 6), u) for _, u, f2, _ in own if u != m and (f or f2) and round(float(x[m] @ x[u]), 6) > w]
             want += [(m, u, -s) for s, u in sorted(met)[:3]]
     assert got == sorted(want)
+
+
+def test_a_cell_gets_each_vector_once_and_learns_the_same():
+    """Members of all groups of a cell are one row each; the best of what they learn is that of the groups one by one."""
+    g = np.random.default_rng(3)
+    x = g.standard_normal((40, 4))
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * ONE).astype(np.int16)
+    last = g.choice([-8.0, 0.0, 0.5], 40)
+    groups = [(c, int(m), bool(g.integers(0, 2))) for c in range(12) for m in sorted(g.choice(40, size=g.integers(1, 9), replace=False))]
+    rows = [dict(center=c, member=m, fresh=f, last=float(last[m]), x=x[m].tolist()) for c, m, f in groups]
+    schema = pa.schema([("center", pa.int64()), ("member", pa.int64()), ("fresh", pa.bool_()), ("last", pa.float64()), ("x", pa.list_(pa.int16()))])
+    want = {}
+    for b in introduced(iter([pa.RecordBatch.from_pylist(rows, schema)]), 3, 6):
+        for r in b.to_pylist():
+            want.setdefault(r["v"], {})[r["u"]] = r["weight"]
+    own = {m: [(c, f) for c, n, f in groups if n == m] for m in {m for _, m, _ in groups}}
+    cell = [dict(member=m, last=float(last[m]), centers=[c for c, _ in at], fresh=[f for _, f in at], x=x[m].tolist()) for m, at in own.items()]
+    schema = pa.schema([("member", pa.int64()), ("last", pa.float64()), ("centers", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_())), ("x", pa.list_(pa.int16()))])
+    batches = [pa.RecordBatch.from_pylist(cell[i : i + 7], schema) for i in range(0, len(cell), 7)]
+    got = sorted((r["v"], r["u"], r["weight"]) for b in introduced_in_cell(iter(batches), 3, 6) for r in b.to_pylist())
+    assert got == sorted((v, u, w) for v, found in want.items() for u, w in sorted(found.items(), key=lambda f: (-f[1], f[0]))[:3])
+
+
+def test_what_16_bits_cannot_tell_apart_is_scored_exactly(spark):
+    g = np.random.default_rng(4)
+    x = np.array([1.0, 2.0, -1.0, 0.5]) + 2e-3 * g.standard_normal((20, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    assert lists(neighbour_descent(df, "id", "x", k=5, digits=9)) == lists(build.knn(df, "id", "x", k=5, digits=9))
