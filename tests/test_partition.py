@@ -203,3 +203,38 @@ def test_intermediate_tables_go(spark):
     pairs, _ = planted(5, 4, 60, 4, 1)
     out = balanced_partition(frame(spark, [(a, b, 1) for a, b in pairs]), 2, slack=0.3, rounds=2)
     assert out.count() == 240 and len(set(folder.glob("table-*")) - before) == 1
+
+
+def test_more_vertices_than_are_broadcast_replayed(spark, monkeypatch):
+    monkeypatch.setattr(partition, "MOST_BROADCAST", 0)
+    pairs, _ = planted(2, 4, 40, 4, 1)
+    weighted = [(a, b, 1 + (a + b) % 3) for a, b in pairs]
+    got = parts_of(balanced_partition(frame(spark, weighted), 2, slack=0.3, rounds=2))
+    assert got == replay(weighted, 2, 0.3, 2)
+
+
+def shuffled(spark, first):
+    """Records that the stages of this session from number ``first`` on have written to shuffles, and the number after the last."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10000)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    mine = [stages.apply(i) for i in range(stages.size()) if stages.apply(i).stageId() >= first]
+    return sum(x.shuffleWriteRecords() for x in mine), max((x.stageId() for x in mine), default=first - 1) + 1
+
+
+def test_edges_stay_where_they_are(spark):
+    """A round shuffles sums by vertex and part, no edges: with tables too large for Spark to broadcast of its own accord, less is shuffled than ten times the edges, however many rounds."""
+    r = random.Random(4)
+    pairs = {(min(p), max(p)) for p in ((r.randrange(300), r.randrange(300)) for _ in range(40_000)) if p[0] != p[1]}
+    e = frame(spark, [(a, b, 1) for a, b in pairs]).repartition(3)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for x in names:
+            spark.conf.set(x, "-1")
+        _, first = shuffled(spark, 0)
+        balanced_partition(e, 8, slack=0.1, rounds=6).count()
+        records, _ = shuffled(spark, first)
+    finally:
+        for x in names:
+            spark.conf.unset(x)
+    assert records < 10 * 2 * len(pairs)

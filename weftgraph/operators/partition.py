@@ -28,6 +28,10 @@ from weftgraph.plans.workers import map_in_arrow
 MOST_PARTS, HEAVIEST, SLOTS = 512, 32, 64
 #: Proposals of a level; unmatched share from which vertices with a common neighbour are merged; share of the vertices that a level must leave fewer.
 PROPOSALS, UNMATCHED, SHRINK = 4, 0.25, 0.02
+#: Vertices up to which what is known of each is broadcast to the edges (some 60 bytes each), which then stay where they are.
+MOST_BROADCAST = 1_000_000
+#: The place, before all of its cells, of what a part has already.
+HELD = 1 << 20
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -39,18 +43,33 @@ def _edges(edges: DataFrame) -> DataFrame:
     return each.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
-def propose(edges: DataFrame, free: DataFrame, limit: int) -> DataFrame:
+def _laid(edges: DataFrame) -> DataFrame:
+    """``edges`` written with a vertex's edges side by side, a hub's in several places: what is summed by vertex is then few rows before any shuffle."""
+    return materialize(edges.repartitionByRange("src", "dst"))
+
+
+def _small(known: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(known) if few else known
+
+
+def _both(edges: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """Edges whose ends are both in ``known`` (v, ...), its other columns beside them as _a for src and _b for dst. Both ends read one broadcast table, if ``few``."""
+    rest = [c for c in known.columns if c != "v"]
+    a, b = (known.select(F.col("v").alias(end), *(F.col(c).alias(c + of) for c in rest)) for end, of in (("src", "_a"), ("dst", "_b")))
+    return edges.join(_small(a, few), "src").join(_small(b, few), "dst")
+
+
+def propose(edges: DataFrame, free: DataFrame, limit: int, few: bool = False) -> DataFrame:
     """(a, b), a < b: pairs of free vertices, each the other's heaviest free neighbour with which it stays within ``limit``.
 
     ``free``: (v, size). Edges are ordered by weight and then by a hash that both
     ends see alike, so the heaviest edge of any neighbourhood is always proposed
-    from both ends.
+    from both ends. ``few``: free vertices may be broadcast.
     """
-    x, y = free.toDF("src", "size_a"), free.toDF("dst", "size_b")
-    open_ = edges.join(x, "src").join(y, "dst").where(F.col("size_a") + F.col("size_b") <= limit)
+    open_ = _both(edges, free, few).where(F.col("size_a") + F.col("size_b") <= limit)
     ends = F.least("src", "dst"), F.greatest("src", "dst")
     best = open_.groupBy("src").agg(F.max_by("dst", F.struct("weight", F.xxhash64(*ends), *ends)).alias("dst"))
-    return best.alias("p").join(best.alias("q"), (F.col("p.dst") == F.col("q.src")) & (F.col("q.dst") == F.col("p.src"))).where("p.src < p.dst").select(F.col("p.src").alias("a"), F.col("p.dst").alias("b"))
+    return best.groupBy(ends[0].alias("a"), ends[1].alias("b")).agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
 
 
 def beside(edges: DataFrame, free: DataFrame, limit: int) -> DataFrame:
@@ -68,25 +87,26 @@ def beside(edges: DataFrame, free: DataFrame, limit: int) -> DataFrame:
 
 
 def matched(edges: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """(v, merged) for every vertex of ``sizes`` (v, size): the smallest vertex of those it is merged with."""
+    """(v, size, merged) for every vertex of ``sizes`` (v, size): the smallest vertex of those it is merged with."""
     pairs, free, n = [], sizes, sizes.count()
+    unmatched = n
     for _ in range(PROPOSALS):
-        new = materialize(propose(edges, free, limit))
+        new = materialize(propose(edges, free, limit, unmatched <= MOST_BROADCAST))
         pairs.append(new)
-        if not new.limit(1).count():
+        found = new.count()
+        if not found:
             break
-        gone = new.select(F.explode(F.array("a", "b")).alias("v"))
-        left = materialize(free.join(gone, "v", "left_anti"))
+        left = materialize(free.join(new.select(F.explode(F.array("a", "b")).alias("v")), "v", "left_anti"))
         if free is not sizes:
             discard(free)
-        free = left
+        free, unmatched = left, unmatched - 2 * found
     both = pairs[0]
     for p in pairs[1:]:
         both = both.unionByName(p)
     found = both.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("merged")), F.struct(F.col("b").alias("v"), F.col("a").alias("merged")))).alias("m")).select("m.*")
-    if free.count() > UNMATCHED * n:
+    if unmatched > UNMATCHED * n:
         found = found.unionByName(beside(edges, free, limit))
-    out = materialize(sizes.select("v").join(found, "v", "left").select("v", F.coalesce("merged", "v").alias("merged")))
+    out = materialize(sizes.join(found, "v", "left").select("v", "size", F.coalesce("merged", "v").alias("merged")))
     for p in pairs:
         discard(p)
     if free is not sizes:
@@ -152,46 +172,68 @@ def _start(edges: DataFrame, sizes: DataFrame, parts: int, most: int) -> DataFra
     return map_in_arrow(rows.coalesce(1), run, "v bigint, part int")
 
 
-def cut_of(edges: DataFrame, labels: DataFrame) -> int:
+def cut_of(edges: DataFrame, labels: DataFrame, few: bool = False) -> int:
     """The weight of all edges, each counted once, whose ends are in two parts."""
-    a, b = labels.select(F.col("v").alias("src"), F.col("part").alias("p")), labels.select(F.col("v").alias("dst"), F.col("part").alias("q"))
-    return edges.join(a, "src").join(b, "dst").where("p <> q and src < dst").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    return _both(edges, labels.select("v", "part"), few).where("part_a <> part_b and src < dst").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
 
 
-def moves(edges: DataFrame, sizes: DataFrame, labels: DataFrame, parts: int, most: int, up: bool, seed: int) -> DataFrame:
-    """(v, to): vertices that leave for the part of another number, above their own if ``up`` and below otherwise, to which more of their weight leads.
+def wishes(edges: DataFrame, labels: DataFrame, up: bool, seed: int, few: bool = False) -> DataFrame:
+    """(v, size, part, out, to, place) for every vertex of ``labels`` (v, size, part), by one pass over the edges.
 
-    A part takes moves by falling gain, in powers of two, and within one by hash,
-    as whole cells and as long as all of them fit beside what it has: no part
-    exceeds ``most``, and no task sees more of a part than its cells.
+    ``out``: the weight of its edges to other parts. ``to``: the part of another
+    number, above its own if ``up`` and below otherwise, to which most of its
+    weight leads, if that is more than leads to its own; else null. ``place``: the
+    cell in which it waits there, the larger the earlier: by falling gain, in
+    powers of two, and within one by hash.
+    """
+    led = _both(edges, labels, few).select(F.col("src").alias("v"), F.col("size_a").alias("size"), F.col("part_a").alias("part"), F.col("part_b").alias("to"), F.col("weight").alias("w"))
+    own = labels.select("v", "size", "part", F.col("part").alias("to"), F.lit(0).cast("bigint").alias("w"))  # vertices without edges too
+    pull = led.unionByName(own).groupBy("v", "size", "part", "to").agg(F.sum("w").alias("w"))
+    there = F.col("to") > F.col("part") if up else F.col("to") < F.col("part")
+    best = pull.groupBy("v", "size", "part").agg(
+        F.sum(F.when(F.col("to") == F.col("part"), F.col("w")).otherwise(0)).alias("w_own"),
+        F.sum(F.when(F.col("to") != F.col("part"), F.col("w")).otherwise(0)).alias("out"),
+        F.max(F.when(there, F.struct("w", (-F.col("to")).alias("minus")))).alias("m"),
+    )
+    gain = F.col("m.w") - F.col("w_own")
+    place = F.floor(F.log2(gain.cast("double"))) * SLOTS + (SLOTS - 1) - F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(SLOTS))
+    return best.select("v", "size", "part", "out", F.when(gain > 0, -F.col("m.minus")).alias("to"), F.when(gain > 0, place).cast("int").alias("place"))
+
+
+def accepted(wished: DataFrame, parts: int, most: int) -> tuple[list[int], int]:
+    """For each part the last place it takes moves from, ``HELD`` or above if it takes none; and the cut before any move.
+
+    A part takes moves as whole cells, in their order, as long as all of them fit
+    beside what it has: no part exceeds ``most``, and no task sees more of a part
+    than its cells. As cells are taken without gaps, the last one says it all.
     """
-    of = labels.select("v", "part")
-    pull = edges.join(of.select(F.col("v").alias("dst"), F.col("part").alias("to")), "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("weight").alias("w"))
-    own = pull.alias("x").join(of.alias("y"), "v").where(F.col("to") == F.col("part")).select("v", F.col("w").alias("w_own"))
-    gain = pull.join(of, "v").where(F.col("to") > F.col("part") if up else F.col("to") < F.col("part")).join(own, "v", "left").select("v", "to", (F.col("w") - F.coalesce("w_own", F.lit(0))).alias("gain")).where("gain > 0")
-    best = gain.groupBy("v").agg(F.max(F.struct("gain", (-F.col("to")).alias("minus"))).alias("m")).select("v", (-F.col("m.minus")).alias("to"), F.floor(F.log2(F.col("m.gain").cast("double"))).cast("int").alias("power"))
-    wanted = best.join(sizes, "v").withColumn("slot", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(SLOTS)))
-    cells = wanted.groupBy("to", "power", "slot").agg(F.sum("size").alias("size"))
-    so_far = F.sum("size").over(Window.partitionBy("to").orderBy(F.desc("power"), "slot"))
-    full = labels.join(sizes, "v").groupBy(F.col("part").alias("to")).agg(F.sum("size").alias("full"))
-    fits = cells.withColumn("so_far", so_far).join(full, "to", "left").where(F.col("so_far") + F.coalesce("full", F.lit(0)) <= most)
-    return wanted.join(fits.select("to", "power", "slot"), ["to", "power", "slot"]).select("v", "to")
-
-
-def refined(edges: DataFrame, sizes: DataFrame, labels: DataFrame, parts: int, most: int, rounds: int) -> DataFrame:
-    """``labels`` (v, part) after rounds of moves, upwards and downwards in turn; unchanged if the cut would not be smaller."""
-    before, now, idle = cut_of(edges, labels), labels, 0
+    held = F.struct(F.col("part").alias("to"), F.lit(HELD).alias("place"), "size", F.col("out").cast("decimal(20,0)").alias("out"))
+    asked = F.struct("to", "place", "size", F.lit(0).cast("decimal(20,0)").alias("out"))
+    cells = wished.select(F.explode(F.array(held, asked)).alias("c")).select("c.*").where("to is not null").groupBy("to", "place").agg(F.sum("size").alias("size"), F.sum("out").alias("out"))
+    so_far = cells.withColumn("so_far", F.sum("size").over(Window.partitionBy("to").orderBy(F.desc("place"))))
+    rows = so_far.groupBy("to").agg(F.min(F.when(F.col("so_far") <= most, F.col("place"))).alias("last"), F.sum("out").alias("out")).collect()
+    last = [HELD] * parts
+    for r in rows:
+        last[r["to"]] = HELD if r["last"] is None else r["last"]
+    return last, int(sum(r["out"] for r in rows)) // 2
+
+
+def refined(edges: DataFrame, labels: DataFrame, parts: int, most: int, rounds: int, few: bool = False) -> DataFrame:
+    """``labels`` (v, size, part) after rounds of moves, upwards and downwards in turn; unchanged if the cut would not be smaller. Reads one table in the shared folder."""
+    before, now, idle = 0, labels, 0
     for i in range(rounds):
-        gone = moves(edges, sizes, now, parts, most, i % 2 == 0, i)
-        new = materialize(now.select("v", "part").join(gone, "v", "left").select("v", F.coalesce("to", "part").cast("int").alias("part"), F.col("to").isNotNull().alias("moved")))
+        wished = materialize(wishes(edges, now, i % 2 == 0, i, few))
         if now is not labels:
             discard(now)
-        now, idle = new, 0 if new.where("moved").limit(1).count() else idle + 1
+        last, cut = accepted(wished, parts, most)
+        before = cut if i == 0 else before
+        now = wished.select("v", "size", F.when(F.col("place") >= F.get(F.lit(last), F.col("to")), F.col("to")).otherwise(F.col("part")).cast("int").alias("part"))
+        idle = 0 if min(last) < HELD else idle + 1
         if idle == 2:
             break
     if now is labels:
         return labels
-    if cut_of(edges, now) < before:
+    if cut_of(edges, now, few) < before:
         discard(labels)
         return now
     discard(now)
@@ -212,7 +254,7 @@ def balanced_partition(edges: DataFrame, parts: int, slack: float = 0.1, rounds:
     """
     if not 1 <= parts <= MOST_PARTS or slack <= 0:
         raise ValueError(f"1 to {MOST_PARTS} parts, and some slack")
-    e = materialize(_edges(edges))
+    e = _laid(_edges(edges))
     all_ = e.select(F.col("src").alias("v")) if vertices is None else e.select(F.col("src").alias("v")).union(vertices.select(F.col("v").cast("bigint")).where("v is not null"))
     sizes = materialize(all_.distinct().withColumn("size", F.lit(1).cast("bigint")))
     n = total = sizes.count()
@@ -221,7 +263,7 @@ def balanced_partition(edges: DataFrame, parts: int, slack: float = 0.1, rounds:
     levels = []
     while n > few and limit > 1:
         to = matched(e, sizes, limit)
-        fewer = materialize(sizes.join(to, "v").groupBy(F.col("merged").alias("v")).agg(F.sum("size").alias("size")))
+        fewer = materialize(to.groupBy(F.col("merged").alias("v")).agg(F.sum("size").alias("size")))
         m = fewer.count()
         if m > (1 - SHRINK) * n:
             discard(to)
@@ -230,18 +272,20 @@ def balanced_partition(edges: DataFrame, parts: int, slack: float = 0.1, rounds:
                 break
             # no edge is left along which more can be merged: light vertices go together, so that few remain whatever the graph
             to = matched(e.limit(0), sizes, limit)
-            fewer = materialize(sizes.join(to, "v").groupBy(F.col("merged").alias("v")).agg(F.sum("size").alias("size")))
+            fewer = materialize(to.groupBy(F.col("merged").alias("v")).agg(F.sum("size").alias("size")))
             m = fewer.count()
-        levels.append((e, sizes, to))
-        e = materialize(coarsen(e, to, F.col("weight")).where("src <> dst"))
+        levels.append((e, to, n))
+        e = _laid(coarsen(e, _small(to.select("v", "merged"), n <= MOST_BROADCAST), F.col("weight")).where("src <> dst"))
+        discard(sizes)
         sizes, n = fewer, m
-    labels = refined(e, sizes, materialize(_start(e, sizes, parts, most)), parts, most, rounds)
+    start = materialize(sizes.join(_start(e, sizes, parts, most), "v").select("v", "size", "part"))
+    labels = refined(e, start, parts, most, rounds, n <= MOST_BROADCAST)
     discard(e)
     discard(sizes)
-    for e, sizes, to in reversed(levels):
-        wide = materialize(to.join(labels.select(F.col("v").alias("merged"), "part"), "merged").select("v", "part"))
+    for e, to, n in reversed(levels):
+        wide = materialize(to.join(labels.select(F.col("v").alias("merged"), "part"), "merged").select("v", "size", "part"))
         discard(labels)
-        labels = refined(e, sizes, wide, parts, most, rounds)
-        for x in (e, sizes, to):
-            discard(x)
+        labels = refined(e, wide, parts, most, rounds, n <= MOST_BROADCAST)
+        discard(e)
+        discard(to)
     return labels.select("v", "part")
