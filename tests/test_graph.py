@@ -166,6 +166,67 @@ def test_power_iteration_keeps_planted_clusters_whole(spark, planted):
     assert sum(whole) >= 0.9 * len(found)
 
 
+def test_clusters_of_embeddings_are_the_planted_ones(spark, planted):
+    """A round or a few leave many labels in each planted cluster; it has one when the labels have settled."""
+    folder, found = planted
+    clusters = dict(rows(QUERIES["cluster_embeddings"](spark, folder)))
+    assert set(clusters) == {i for i, _, _ in found}
+    assert {frozenset(i for i in clusters if clusters[i] == k) for k in set(clusters.values())} == {frozenset(range(c, 300, 10)) for c in range(10)}
+
+
+def test_cluster_embeddings_leaves_one_table(spark, planted):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("table-*"))
+    assert QUERIES["cluster_embeddings"](spark, planted[0]).count() == 300
+    assert len(set(folder.glob("table-*")) - before) == 1
+
+
+def settled(pairs):
+    """Rounds in plain Python until two rounds ago comes again, and their number; the smaller of the labels that a vertex then has."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    before, now, rounds = None, {v: v for v in near}, 0
+    while True:
+        heard = {v: Counter(now[w] for w in near[v]) for v in near}
+        new, rounds = {v: min(n, key=lambda c: (-n[c], c)) for v, n in heard.items()}, rounds + 1
+        if new == before:
+            return sorted((v, min(now[v], new[v])) for v in new), rounds
+        before, now = now, new
+
+
+def both_ways(pairs):
+    return pairs + [(b, a) for a, b in pairs]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_settled_labels_against_plain_rounds(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(40), r.randrange(40)) for _ in range(50)]  # with loops, counted twice, and repeated rows
+    pairs += [(100, 101), *((200 + i, 210 + j) for i in range(3) for j in range(4)), *((300, 301 + i) for i in range(9))]  # whose labels swap for ever
+    pairs += [(400 + a, 400 + b) for a, b in cliques(6, 5)]
+    want, rounds = settled(both_ways(pairs))
+    assert rounds > 4 and rows(graph.settled_labels(edges(spark, both_ways(pairs)))) == want
+    of = dict(want)
+    assert of[100] == of[101] == 100 and {of[v] for v in (200, 201, 202, 210, 211, 212, 213)} == {200} and {of[300 + i] for i in range(10)} == {300}
+
+
+def test_labels_settle_at_the_end_of_a_chain(spark):
+    """On a chain whose names rise the least label goes a step a round: no number of rounds would do for all graphs."""
+    pairs = both_ways([(i, i + 1) for i in range(20)])
+    want, rounds = settled(pairs)
+    assert rounds >= 20 and rows(graph.settled_labels(edges(spark, pairs))) == want == [(v, 0) for v in range(21)]
+
+
+def test_settled_labels_of_nothing_nulls_and_one_way(spark):
+    assert rows(graph.settled_labels(edges(spark, []))) == []
+    assert rows(graph.settled_labels(edges(spark, [(1, None), (None, 2), (None, None), (3, 4), (4, 3)]))) == [(3, 3), (4, 3)]
+    with pytest.raises(ValueError, match="both directions"):
+        graph.settled_labels(edges(spark, [(1, 2), (2, 3), (3, 1)]))
+
+
 def test_lsh_join_against_brute_force(spark, planted):
     folder, found = planted
     want = {(a, b): math.dist(x, y) for a, x, _ in found for b, y, _ in found if a < b and math.dist(x, y) <= 1.1}

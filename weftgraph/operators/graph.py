@@ -107,15 +107,48 @@ def smoothed(edges: DataFrame, feats: DataFrame, hops: int) -> DataFrame:
     return whole.select("v", F.explode(F.arrays_zip("pos", "x")).alias("at")).select("v", "at.pos", "at.x")
 
 
+def _heard(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(v, cluster): what is most frequent among the neighbours' labels, ties to the smaller."""
+    heard = edges.join(labels.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v"), "cluster").agg(F.count("*").alias("n"))
+    return heard.groupBy("v").agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
+
+
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     """(v, cluster): every vertex starts as its own cluster and takes, in each round at once, the most frequent of its neighbours', ties to the smaller."""
     labels = edges.select(F.col("src").alias("v")).distinct().withColumn("cluster", F.col("v"))
     for _ in range(rounds):
-        heard = edges.join(labels.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v"), "cluster").agg(F.count("*").alias("n"))
-        labels = heard.groupBy("v").agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
+        labels = _heard(edges, labels)
     return labels
 
 
+def settled_labels(edges: DataFrame) -> DataFrame:
+    """(v, cluster): ``label_propagation`` of a symmetric edge table for as many rounds as it takes, until the labels are those of two rounds before.
+
+    With both directions of every edge there, that always comes (Poljak and Sura,
+    1983): the edges whose ends agree, one as it is and one as it was a round ago,
+    grow in number or, at ties, labels get smaller, in every round that changes
+    what was two rounds before. From there on a vertex keeps its label or has two
+    in turn, as the sides of a bipartite part do; it gets the smaller. The number
+    of rounds is the graph's: few where labels meet, as many as steps along a
+    chain whose names rise. Edges with a null end take no part, repeated rows
+    count repeatedly; an edge without its other direction raises ValueError. The
+    result reads a table in the shared folder.
+    """
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    there, back = edges.agg(*[F.sum(F.xxhash64(*ends).cast("decimal(20,0)")) for ends in (("src", "dst"), ("dst", "src"))]).first()
+    if there != back:
+        raise ValueError("the edges need both directions of each")
+    first = edges.select(F.col("src").alias("v")).distinct().withColumn("cluster", F.col("v"))
+    now = materialize(first.withColumn("before", F.when(F.lit(False), F.col("v"))))
+    while True:
+        was = now.select("v", F.col("cluster").alias("before"), F.col("before").alias("older"))
+        new = materialize(_heard(edges, now.select("v", "cluster")).join(was, "v").withColumn("moves", ~F.col("cluster").eqNullSafe(F.col("older"))).drop("older"))
+        discard(now)
+        now = new
+        if not now.where("moves").limit(1).count():
+            return now.select("v", F.least("before", "cluster").alias("cluster"))
+
+
 def _ends(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     a, b = clusters.toDF("src", "c_a"), clusters.toDF("dst", "c_b")
     return edges.join(a, "src").join(b, "dst")

@@ -147,9 +147,17 @@ def _propagation(rounds: int) -> str:
     return f"WITH {NEAR}, {', '.join(ctes)} SELECT v, cluster FROM l{rounds}"
 
 
-@query(_propagation(1))
+#: Rounds of propagation, each with the labels of the round before it, until one would give these again; what a vertex then has in turn is a label or two.
+SETTLED = """
+s AS MATERIALIZED (SELECT src, dst FROM e),
+l AS (SELECT 0 AS i, v, NULL::BIGINT AS before, v AS cluster FROM d UNION ALL
+  SELECT i, v, before, cluster FROM (SELECT l.i + 1 AS i, l.v, l.cluster AS before, h.cluster, bool_or(h.cluster IS DISTINCT FROM l.before) OVER () AS moves
+    FROM l JOIN (SELECT src, cluster, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, cluster) AS r FROM s JOIN l ON dst = l.v GROUP BY 1, 2) h ON h.src = l.v WHERE h.r = 1) WHERE moves)"""
+
+
+@query(f"WITH RECURSIVE {NEAR}, {SETTLED} SELECT v, least(before, cluster) AS cluster FROM l WHERE i = (SELECT max(i) FROM l)")
 def cluster_embeddings(spark, sf_dir):
-    return over(near(spark, sf_dir), lambda e: graph.label_propagation(e, 1))
+    return over(near(spark, sf_dir), graph.settled_labels)
 
 
 @query(_propagation(3))
